@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import mixing
+from terravane.llm import mixing, url_filter
 from terravane.llm.common import table
 
 
@@ -11,8 +11,16 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_url_filter(spark, sf_dir):
+    """Judge every page's url by rules and the character models."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = (op1_source_mix, op3_url_filter)
+
+
 def queries():
-    return {"op1_source_mix": op1_source_mix}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
