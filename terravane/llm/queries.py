@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import mixing, url_filter
+from terravane.llm import bpe, mixing, url_filter
 from terravane.llm.common import table
 
 
@@ -16,7 +16,14 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_source_mix, op3_url_filter)
+def op9_bpe(spark, sf_dir):
+    """Encode and decode every document with a public vocabulary."""
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = (op1_source_mix, op3_url_filter, op9_bpe)
 
 
 def queries():
