@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import bpe, mixing, url_filter
+from terravane.llm import bpe, fingerprint, mixing, url_filter
 from terravane.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_winnowing(spark, sf_dir):
+    """Fingerprint every document and its edited text."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark, sf_dir):
     """Encode and decode every document with a public vocabulary."""
     import public_tokenizers
@@ -23,7 +28,7 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = (op1_source_mix, op3_url_filter, op9_bpe)
+QUERIES = (op1_source_mix, op3_url_filter, op8_winnowing, op9_bpe)
 
 
 def queries():
