@@ -2,13 +2,13 @@
 
 Encoding. A sequence of tokens is the encoding of its bytes exactly if every
 two neighbours are: the merges, applied to the bytes of the two, give them
-back. So the transducer walks hypotheses (last token, node of the vocabulary's
-byte trie, tokens not yet emitted) and closes a token only next to one that it
-may follow. A state of the transducer is the set of its live hypotheses; tokens
-with which all of them begin are emitted at once, so output follows input by a
-bounded lookahead and no state keeps more than that. States and transitions are
-made when first met and kept, as in a lazily determinised automaton; when their
-number passes a bound they are dropped and made again.
+back. So the transducer walks hypotheses (last token before, node of the
+vocabulary's byte trie) and closes a token only next to one that it may follow;
+just one closes at each byte, the last token of what has been read. A state is
+the set of live hypotheses, oldest first. The deepest of their nodes is the
+lookahead: tokens that end before it began are final and are emitted. States
+and transitions are made when first met and kept, as in a lazily determinised
+automaton; when their number passes a bound they are dropped and made again.
 
 Decoding. Token bytes pass through an incremental UTF-8 machine that gives out
 whole code points as soon as their last byte has come and turns bytes that can
@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: The most states of the transducer, and the most cached matches, that one worker keeps.
-MAX_STATES, MAX_PIECES = 150_000, 300_000
+MAX_STATES, MAX_PIECES = 200_000, 300_000
 
 
 def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -47,6 +47,7 @@ class Transducer:
         self.max_states = max_states
         self._next: list[dict[int, int]] = [{}]
         self._token: list[int | None] = [None]
+        self._depth: list[int] = [0]
         for t, i in ranks.items():
             node = 0
             for b in t:
@@ -54,62 +55,98 @@ class Transducer:
                     self._next[node][b] = len(self._next)
                     self._next.append({})
                     self._token.append(None)
+                    self._depth.append(self._depth[node] + 1)
                 node = self._next[node][b]
             self._token[node] = i
-        # tokens that the merges cannot make are found only as whole matches
-        self._made = {i for t, i in ranks.items() if self._merge(t) == [i]}
+        self._length = {i: len(t) for t, i in ranks.items()}
+        # the two parts that a token is last merged from, and whether the merges make it at all;
+        # one that they cannot make is found only as a whole match
+        self._parts: dict[int, tuple[int, int]] = {}
+        self._made: set[int] = set()
+        for t, i in ranks.items():
+            parts = self._merge(t, 2)
+            if len(parts) == 1 or len(parts) == 2:
+                self._made.add(i)
+            if len(parts) == 2:
+                self._parts[i] = (parts[0], parts[1])
         self._reset()
 
     def _reset(self) -> None:
-        self._follows: dict[tuple[int, int], bool] = {}
-        self._number: dict[frozenset, int] = {}
-        self._states: list[frozenset] = []
-        self._moves: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state(frozenset({(None, 0, ())}))
-
-    def _state(self, live: frozenset) -> int:
+        self._follows: dict[int, dict[int, bool]] = {}
+        self._edges: dict[int, list] = {}
+        self._heads: dict[int, list] = {}
+        self._number: dict[tuple, int] = {}
+        self._states: list[tuple] = []
+        self._moves: list[dict[int, tuple[int, int]]] = []
+        self._state(((-1, 0),))
+
+    def _state(self, live: tuple) -> int:
         found = self._number.get(live)
         if found is None:
             found = self._number[live] = len(self._states)
             self._states.append(live)
+            self._moves.append({})
         return found
 
-    def _merge(self, data: bytes) -> list[int]:
-        """The defining procedure, for short strings: join the neighbours of lowest rank until none is left."""
+    def _merge(self, data: bytes, until: int = 1) -> list[int]:
+        """The defining procedure, for short strings: join the neighbours of lowest rank until ``until`` parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], len(self.ranks) + 1), i) for i in range(len(parts) - 1))
-            if rank > len(self.ranks):
+        none = len(self.ranks) + 1
+        while len(parts) > until:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+            if rank == none:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _may_follow(self, left: int | None, right: int) -> bool:
-        if left is None:
+    def _edge(self, token: int, side: int) -> list[tuple[int, float, bytes]]:
+        """Parts that stand at a token's edge while it is made: when each appears, when it is merged away, its bytes."""
+        out, gone = [], float("inf")
+        while True:
+            parts = self._parts.get(token)
+            out.append((token if parts else -1, gone, self.bytes[token]))
+            if not parts:
+                return out
+            gone, token = token, parts[side]
+
+    def _may_follow(self, left: int, right: int) -> bool:
+        """Whether no merge ever joins the two: none whose turn comes while both its sides stand at the border."""
+        if left < 0:
             return True
-        found = self._follows.get((left, right))
+        known = self._follows.setdefault(left, {})
+        found = known.get(right)
         if found is None:
-            found = self._follows[left, right] = self._merge(self.bytes[left] + self.bytes[right]) == [left, right]
+            ends = self._edges.get(left)
+            if ends is None:
+                ends = self._edges[left] = self._edge(left, 1)
+            starts = self._heads.get(right)
+            if starts is None:
+                starts = self._heads[right] = self._edge(right, 0)
+            found = known[right] = not any(
+                # of equal ranks the leftmost merge is first
+                max(born_x, born_y) < min(gone_x, gone_y) and (rank := self.ranks.get(x + y)) is not None and rank < gone_x and rank <= gone_y
+                for born_x, gone_x, x in ends
+                for born_y, gone_y, y in starts
+            )
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live = set()
-        for last, node, held in self._states[state]:
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state and the token that closes here."""
+        live, closed = [], -1
+        for last, node in self._states[state]:
             to = self._next[node].get(byte)
             if to is None:
                 continue
             if self._next[to]:
-                live.add((last, to, held))
+                live.append((last, to))
             token = self._token[to]
-            if token in self._made and self._may_follow(last, token):
-                live.add((token, 0, (*held, token)))
-        held = [h for _, _, h in live]
-        n = 0
-        shortest = min(map(len, held), default=0)
-        while n < shortest and len({h[n] for h in held}) == 1:
-            n += 1
-        out = held[0][:n] if held else ()
-        return self._state(frozenset((last, node, h[n:]) for last, node, h in live)), out
+            if closed < 0 and token in self._made and self._may_follow(last, token):
+                closed = token
+        if closed < 0:
+            raise ValueError("a byte is missing from the vocabulary")
+        live.append((closed, 0))
+        found = self._moves[state][byte] = (self._state(tuple(live)), closed)
+        return found
 
     def encode(self, data: bytes) -> list[int]:
         """Ranks of one match of the pattern."""
@@ -118,17 +155,32 @@ class Transducer:
             return [whole]
         if len(self._states) > self.max_states:
             self._reset()
-        state, out = self.start, []
+        moves, state, closed = self._moves, 0, []
+        for b in data:
+            state, token = moves[state].get(b) or self._step(state, b)
+            closed.append(token)
+        return self._back(closed, len(closed))
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """Ranks of one match, each given out as soon as all live hypotheses begin with it."""
+        state, closed = 0, []
         for b in data:
-            move = self._moves.get((state, b))
-            if move is None:
-                move = self._moves[state, b] = self._step(state, b)
-            state = move[0]
-            out += move[1]
-        for _, node, held in self._states[state]:
-            if node == 0:
-                return [*out, *held]
-        raise ValueError("a byte is missing from the vocabulary")
+            state, token = self._moves[state].get(b) or self._step(state, b)
+            closed.append(token)
+            paths = [self._back(closed, len(closed) - self._depth[node]) for _, node in self._states[state]]
+            n = 0
+            while n < min(map(len, paths)) and len({p[n] for p in paths}) == 1:
+                n += 1
+            yield from paths[0][:n]
+            closed = closed[sum(self._length[t] for t in paths[0][:n]) :]
+        yield from self._back(closed, len(closed))
+
+    def _back(self, closed: list[int], at: int) -> list[int]:
+        out = []
+        while at:
+            out.append(closed[at - 1])
+            at -= self._length[closed[at - 1]]
+        return out[::-1]
 
 
 def decode_stream(ids: Iterable[int], token_bytes: dict[int, bytes]) -> Iterator[str]:
@@ -143,6 +195,30 @@ def decode_stream(ids: Iterable[int], token_bytes: dict[int, bytes]) -> Iterator
         yield rest
 
 
+class _Pieces(dict):
+    """Joined ids of a match, encoded when first asked for."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, piece: str) -> str:
+        found = self[piece] = ",".join(map(str, self._encode(piece.encode())))
+        return found
+
+
+class _Runs(dict):
+    """Bytes of a run of joined ids, decoded when first asked for."""
+
+    def __init__(self, token_bytes: dict[str, bytes]) -> None:
+        super().__init__()
+        self._bytes = token_bytes
+
+    def __missing__(self, run: str) -> bytes:
+        found = self[run] = b"".join([self._bytes[i] for i in run.split(",")])
+        return found
+
+
 class Codec:
     """Encodes and decodes whole texts with cached matches."""
 
@@ -151,34 +227,28 @@ class Codec:
 
         self.transducer = Transducer(ranks)
         self._find = regex.compile(pattern).findall
-        self._pieces: dict[str, str] = {}
-        self._counts: dict[str, int] = {}
+        self._pieces = _Pieces(self.transducer.encode)
+        self._runs = _Runs({str(i): t for i, t in self.transducer.bytes.items()})
         self.max_pieces = max_pieces
-        self._bytes = {str(i): t for i, t in self.transducer.bytes.items()}
+
+    def _joined(self, text: str | None) -> list[str]:
+        """Joined ids of each match."""
+        cache = self._pieces
+        if len(cache) > self.max_pieces:
+            cache.clear()
+            self._runs.clear()
+        return [cache[p] for p in self._find(text)] if text else []
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids joined by commas, sha256 of the bytes decoded from the ids."""
-        joined = self.joined(text)
-        ids = joined.split(",") if joined else []
-        decoded = b"".join(map(self._bytes.__getitem__, ids))
-        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-    def joined(self, text: str | None) -> str:
-        pieces = self._find(text) if text else []
-        cache = self._pieces
-        try:
-            return ",".join([cache[p] for p in pieces])
-        except KeyError:
-            if len(cache) > self.max_pieces:
-                cache.clear()
-            for p in set(pieces):
-                if p not in cache:
-                    cache[p] = ",".join(map(str, self.transducer.encode(p.encode())))
-            return ",".join([cache[p] for p in pieces])
+        runs = self._joined(text)
+        joined = ",".join(runs)
+        decoded = b"".join(map(self._runs.__getitem__, runs))
+        return joined.count(",") + bool(runs), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     def encode(self, text: str | None) -> list[int]:
-        joined = self.joined(text)
-        return list(map(int, joined.split(","))) if joined else []
+        runs = self._joined(text)
+        return list(map(int, ",".join(runs).split(","))) if runs else []
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(decode_stream(ids, self.transducer.bytes))
