@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import bpe, fingerprint, mixing, near_dup, url_filter
+from terravane.llm import bpe, fingerprint, mixing, near_dup, suffix_dedup, url_filter
 from terravane.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_index(spark, sf_dir):
+    """Remove bytes of repeated 200-byte strings from every document."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -33,7 +38,7 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = (op1_source_mix, op3_url_filter, op6_minhash, op8_winnowing, op9_bpe)
+QUERIES = (op1_source_mix, op3_url_filter, op4_suffix_index, op6_minhash, op8_winnowing, op9_bpe)
 
 
 def queries():
