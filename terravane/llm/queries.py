@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import bpe, fingerprint, mixing, near_dup, suffix_dedup, url_filter
+from terravane.llm import bpe, fingerprint, language, mixing, near_dup, quality, suffix_dedup, url_filter
 from terravane.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op4_suffix_index(spark, sf_dir):
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_rule_ensemble(spark, sf_dir):
+    """Quality scores of all documents by the rule ensemble."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -38,7 +43,12 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = (op1_source_mix, op3_url_filter, op4_suffix_index, op6_minhash, op8_winnowing, op9_bpe)
+def op10_byte_cnn(spark, sf_dir):
+    """Languages of all documents by the byte network."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_source_mix, op3_url_filter, op4_suffix_index, op5_rule_ensemble, op6_minhash, op8_winnowing, op9_bpe, op10_byte_cnn)
 
 
 def queries():
