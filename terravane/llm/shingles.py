@@ -9,7 +9,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes of text that are hashed at a time; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15

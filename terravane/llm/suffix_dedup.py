@@ -176,18 +176,17 @@ class SuffixIndex:
 
 
 def _cut(batches):
-    """Bytes of the wanted runs of (th, text, runs)."""
+    """Bytes of the wanted runs of (th, text, runs), some texts at a time."""
     for batch in batches:
-        key, single, th, start, data = [], [], [], [], []
-        for h, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            for r in runs:
-                key.append(r["key"])
-                single.append(r["single"])
-                th.append(h)
-                start.append(r["start"])
-                data.append(raw[r["start"] : r["start"] + r["n"] + LENGTH - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(single, pa.bool_()), pa.array(th, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary())], names=["key", "single", "th", "start", "data"])
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            n = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            flat = part.column(2).flatten()
+            key, start, length, single = (flat.field(i) for i in range(4))
+            raw = [t.as_buffer().to_pybytes() for t in part.column(1)]
+            owner = np.repeat(np.arange(part.num_rows), n)
+            data = [raw[o][s : s + k + LENGTH - 1] for o, s, k in zip(owner.tolist(), start.to_pylist(), length.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([key, single, part.column(0).take(pa.array(owner)), start, pa.array(data, pa.binary())], names=["key", "single", "th", "start", "data"])
 
 
 CUT = "key long, single boolean, th long, start long, data binary"
@@ -272,26 +271,38 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, batches: int = 3) -> DataF
     return spans.distinct().groupBy("th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _merged(spans: list) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of spans that overlap or touch, in order."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]])
+    return list(zip(starts[new].tolist(), reach[np.r_[new[1:], len(starts)] - 1].tolist(), strict=True))
 
 
 def _kept(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(raw)], strict=True))
 
 
+def _texts(batch: pa.RecordBatch):
+    """(bytes, spans) of each row's columns text and spans, some rows at a time; None for a null text."""
+    text, spans = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "spans"))
+    for a in range(0, batch.num_rows, 256):
+        part = spans[a : a + 256]
+        flat = part.flatten()
+        starts, ends = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        length = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.r_[0, np.cumsum(length)]
+        for i, t in enumerate(text[a : a + 256]):
+            yield t.as_buffer().to_pybytes() if t.is_valid else None, _merged(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]])
+
+
 def _digest(batches):
     for batch in batches:
         out = []
-        for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            gone = _merged(spans)
+        for doc_id, (raw, gone) in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
+            raw = raw or b""
             out.append((doc_id, len(raw), sum(e - s for s, e in gone), len(gone), hashlib.sha256(_kept(raw, gone)).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i == 4 else pa.int64()) for i in range(5)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -318,13 +329,8 @@ def digests(docs: DataFrame, batches: int = 3) -> DataFrame:
 
 def _strip(batches):
     for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
-            if not spans or not text.is_valid:
-                texts.append(text.as_py())
-                continue
-            # a cut within a code point takes all of it
-            texts.append(_kept(text.as_buffer().to_pybytes(), _merged(spans)).decode("utf-8", "ignore"))
+        # a cut within a code point takes all of it
+        texts = [None if raw is None else _kept(raw, gone).decode("utf-8", "ignore") for raw, gone in _texts(batch)]
         names = [n for n in batch.schema.names if n != "spans"]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
 
