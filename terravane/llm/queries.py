@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import bpe, fingerprint, language, mixing, near_dup, quality, suffix_dedup, url_filter
+from terravane.llm import bpe, fingerprint, language, mixing, near_dup, ppm, quality, suffix_dedup, url_filter
 from terravane.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op6_minhash(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_ppm(spark, sf_dir):
+    """Scores of all documents by the byte-context model and the unigram baseline."""
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark, sf_dir):
     """Fingerprint every document and its edited text."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -48,7 +53,7 @@ def op10_byte_cnn(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_source_mix, op3_url_filter, op4_suffix_index, op5_rule_ensemble, op6_minhash, op8_winnowing, op9_bpe, op10_byte_cnn)
+QUERIES = (op1_source_mix, op3_url_filter, op4_suffix_index, op5_rule_ensemble, op6_minhash, op7_ppm, op8_winnowing, op9_bpe, op10_byte_cnn)
 
 
 def queries():
