@@ -51,62 +51,59 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...], share: float, max
         "weight"
     ).over(by_fill.rowsBetween(0, Window.unboundedFollowing))
     ranked = ranked.withColumn("level", level)
-    ranked = ranked.withColumn("water", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything))
+    ranked = ranked.withColumn("water", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(everything))
     target = F.coalesce(F.least(F.col("cap"), F.col("water") * F.col("weight")), F.col("cap"))
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    share: float = 1.5,
-    max_epochs: float = 2.0,
-    seed: int = 7,
-    whole: bool = False,
-) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, source; other columns are ignored).
-
-    Returns doc_id, source, size, source_size, target, taken and repeats (whole
-    repetitions). With ``whole`` no part of a document is taken: documents of
-    the last bin come in once more if at least half of the bin is wanted.
-
-    Null or empty texts have size 0 and take 0 words; a null source is a source
-    of its own, after all others; a null id hashes as empty text; repeated rows
-    count each; an empty table gives an empty result; sources whose words are
-    all missing get target 0.
-    """
-    scratch = Scratch(docs.sparkSession)
-    sized = scratch.keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), seeded_bin(F.col("doc_id"), seed).alias("bin")), "sized")
-    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    bins = scratch.keep(bins, "bins")
+#: Most rows of the table of bins that are broadcast (about 60 bytes each).
+BROADCAST_BINS = 500_000
+
+
+def _cuts(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """Whole repetitions and last share of each source and bin, from rows of (source, bin, size)."""
+    bins = scratch.keep(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     targets = water_fill(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, max_epochs)
     cut = bins.withColumnRenamed("source", "bin_source").join(targets, F.col("bin_source").eqNullSafe(F.col("source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = (F.col("target") - F.col("epochs") * F.col("source_size") - before) / F.col("bin_size")
-    cut = cut.withColumn("epochs", epochs).select(
-        "bin_source", F.col("bin").alias("bin_no"), "source_size", "target", "epochs", F.when(F.col("bin_size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))).otherwise(F.lit(0.0)).alias("part")
-    )
+    part = F.when(F.col("bin_size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))).otherwise(F.lit(0.0))
+    return cut.withColumn("epochs", epochs).select("bin_source", F.col("bin").alias("bin_no"), "source_size", "target", "epochs", part.alias("part"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target and taken for each row of ``docs`` (doc_id, text, source).
+
+    ``share`` is the wanted total over the sum of all sizes, ``max_epochs`` the
+    cap of a source over its size. Null or empty texts have size 0 and take 0
+    words; a null source is a source of its own, after all others; a null id
+    hashes as empty text; repeated rows count each; other columns are ignored;
+    an empty table gives an empty result; a source without words gets target 0.
+    """
+    scratch = Scratch(docs.sparkSession)
+    sized = scratch.keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), seeded_bin(F.col("doc_id"), seed).alias("bin")), "sized")
+    cut = _cuts(sized, scratch, weights, share, max_epochs)
     out = sized.join(cut, F.col("source").eqNullSafe(F.col("bin_source")) & (F.col("bin") == F.col("bin_no")))
-    if whole:
-        repeats = F.col("epochs") + F.when(F.col("part") >= 0.5, 1).otherwise(0)
-        taken = F.col("size") * repeats
-    else:
-        repeats = F.col("epochs") + F.when(F.col("part") >= 1.0, 1).otherwise(0)
-        taken = F.col("size") * F.col("epochs") + F.round(F.col("size") * F.col("part")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), repeats.cast("long").alias("repeats"))
+    taken = F.col("size") * F.col("epochs") + F.round(F.col("size") * F.col("part")).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: rows of ``docs`` as often as ``mix(whole=True)`` says, with the columns of ``docs``.
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
+    """The mixture itself: whole rows of ``docs``, each as often as the mix takes it.
 
-    The count of a row is a function of its id and source, so repeated rows
-    with one id and source are each repeated alike.
+    Nothing is cut within a document here: those of a source's last bin come in
+    once more if at least half of the bin is wanted. Texts stay where they are
+    read; what is joined to them is the table of sources and bins.
     """
-    plan = mix(docs, whole=True, **how).where("repeats > 0").groupBy("doc_id", "source").agg(F.first("repeats").alias("_repeats"))
-    plan = plan.withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source"})
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    binned = docs.withColumn("_bin", seeded_bin(F.col("doc_id"), seed))
+    cut = _cuts(binned.select("source", F.col("_bin").alias("bin"), n_words(F.col("text")).alias("size")), scratch, weights, share, max_epochs)
+    repeats = F.col("epochs") + F.when(F.col("part") >= 0.5, 1).otherwise(0)
+    plan = scratch.keep(cut.select("bin_source", "bin_no", repeats.cast("int").alias("_repeats")).where("_repeats > 0"), "plan")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_BINS else plan
+    laid = binned.join(plan, F.col("source").eqNullSafe(F.col("bin_source")) & (F.col("_bin") == F.col("bin_no")))
+    return laid.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
 
 
 ORACLE = rf"""
@@ -126,7 +123,7 @@ leveled AS (
              - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
             / sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM filled),
-watered AS (SELECT *, min(CASE WHEN level <= fill THEN level END) OVER () AS water FROM leveled),
+watered AS (SELECT *, max(CASE WHEN level <= fill THEN level END) OVER () AS water FROM leveled),
 targets AS (SELECT source, source_size, coalesce(least(cap, water * weight), cap) AS target FROM watered),
 cut AS (
   SELECT b.source, b.bin, b.bin_size, t.source_size, t.target,
