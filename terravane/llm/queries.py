@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import bpe, fingerprint, language, mixing, near_dup, ppm, quality, suffix_dedup, url_filter
+from terravane.llm import bpe, fingerprint, language, lattice, mixing, near_dup, ppm, quality, suffix_dedup, url_filter
 from terravane.llm.common import table
 
 
@@ -11,6 +11,11 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_lattice(spark, sf_dir):
+    """Near-duplicate components of all embeddings."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_url_filter(spark, sf_dir):
     """Judge every page's url by rules and the character models."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
@@ -53,7 +58,7 @@ def op10_byte_cnn(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_source_mix, op3_url_filter, op4_suffix_index, op5_rule_ensemble, op6_minhash, op7_ppm, op8_winnowing, op9_bpe, op10_byte_cnn)
+QUERIES = (op1_source_mix, op2_lattice, op3_url_filter, op4_suffix_index, op5_rule_ensemble, op6_minhash, op7_ppm, op8_winnowing, op9_bpe, op10_byte_cnn)
 
 
 def queries():
