@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from terravane.llm.common import limit_batches
+
 #: The most states of the transducer, and the most cached matches, that one worker keeps.
 MAX_STATES, MAX_PIECES = 200_000, 300_000
 
@@ -271,6 +273,7 @@ ENCODED = "doc_id long, ids array<int>"
 
 
 def _send(docs: DataFrame, path: str) -> str:
+    limit_batches(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
 

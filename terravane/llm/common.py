@@ -29,6 +29,17 @@ def crc_mod(col: Column, m: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows and 4 MB at most in this session, unless its owner has set other limits.
+
+    Whole texts are large rows; with Spark's limits a batch of them takes 64 MB
+    in each task and again in its Python worker.
+    """
+    for key, usual, small in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")):
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, small)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -49,6 +60,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        limit_batches(spark)
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self._end)

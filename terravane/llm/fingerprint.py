@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravane.llm.common import limit_batches
+
 K, WINDOW = 20, 100
 #: Most ranges of ids; the driver holds one number for each.
 MAX_RANGES = 4096
@@ -150,6 +152,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     task streams through sorted rows, two at a time.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     rows = docs.select("doc_id", "text")
     lone = rows.where("doc_id is null").mapInArrow(_alone, SCHEMA)
     ids = rows.where("doc_id is not null")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import crc_mod
+from terravane.llm.common import crc_mod, limit_batches
 from terravane.llm.shingles import chunks
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
@@ -181,8 +181,9 @@ def identify(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result. Texts are judged
     where they are read, without a shuffle; the network is about 40 kB.
     """
-    learned = train(docs)
     spark = docs.sparkSession
+    limit_batches(spark)
+    learned = train(docs)
     shared = spark.sparkContext.broadcast(learned)
 
     def run(batches):

@@ -93,14 +93,18 @@ class Lookup:
 def _add(parts: list, codes: np.ndarray, counts: np.ndarray) -> list:
     """Collect (codes, counts), joined when much has come together."""
     parts.append((codes, counts))
-    if sum(len(c) for c, _ in parts[1:]) > 2_000_000:
+    if sum(len(c) for c, _ in parts[1:]) > 1_000_000:
         return [_summed(parts)]
     return parts
 
 
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(back, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
 
 def _gather(rows: pa.Table) -> pa.Table:
