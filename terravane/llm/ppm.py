@@ -60,20 +60,21 @@ class Lookup:
     """Open-addressing table from 64-bit codes to values, filled and read in whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(len(keys) * 2).bit_length())
+        bits = max(4, int(len(keys) * 4 // 3).bit_length())
         self._shift, self._mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        slot = np.full(1 << bits, -1, np.int64)
-        where, left = self._place(keys), np.arange(len(keys))
+        slot = np.full(1 << bits, -1, np.int32)
+        where, left = self._place(keys), np.arange(len(keys), dtype=np.int32)
         while len(left):
             p = where[left]
             free = slot[p] < 0
             slot[p[free]] = left[free]
             left = left[slot[p] != left]
             where[left] = (where[left] + 1) & self._mask
-        used = slot >= 0
+        del where
+        self._used = slot >= 0
         self._keys, self._values = np.zeros(len(slot), np.uint64), np.full(len(slot), np.nan)
-        self._keys[used], self._values[used] = keys[slot[used]], values[slot[used]]
-        self._used = used
+        slot = slot[self._used]
+        self._keys[self._used], self._values[self._used] = keys[slot], values[slot]
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
@@ -180,9 +181,13 @@ def _judge(n_all: int, n_different: int):
     norm = n_all + 0.5 * (n_different + 1)
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        kind = known.column("kind").to_numpy()
-        code, value = known.column("code").to_numpy().astype(np.uint64), known.column("value").to_numpy()
-        strings, words = (Lookup(code[kind == k], value[kind == k]) for k in (0, 1))
+        tables = []
+        for k in (0, 1):
+            of = known.filter(pa.array(known.column("kind").to_numpy() == k))
+            tables.append(Lookup(of.column("code").to_numpy().view(np.uint64), of.column("value").to_numpy()))
+        strings, words = tables
+        del known, of
+        pa.default_memory_pool().release_unused()
         ends = words.get(np.array([_END_WORD]))[0]
         texts = rows.column("text").combine_chunks()
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
@@ -197,6 +202,7 @@ def _judge(n_all: int, n_different: int):
             tokens.append(np.diff(at) + 1)
             hits.append(seen[at[1:]] - seen[at[:-1]] + (ends > 0))
             base.append(sums[at[1:]] - sums[at[:-1]] + np.log10((ends + 0.5) / norm))
+        del strings, words, tables
         return pa.table(
             {
                 "doc_id": rows.column("doc_id"),
