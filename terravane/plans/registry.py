@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+MODULES = ("risk",)
+ALL: dict[str, tuple] = {}
+for _name in MODULES:
+    ALL |= importlib.import_module(f"terravane.plans.{_name}").QUERIES
+
+FLAGSHIP = ALL["risk_class_summary"][0]
 
 
 def queries():
-    return {}
+    return {k: f for k, (f, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: sql for k, (_, sql) in ALL.items() if sql}
