@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from terravane.llm.common import limit_batches
+from terravane.llm.common import limit_batches, tidied
 
 #: The most states of the transducer, and the most cached matches, that one worker keeps.
-MAX_STATES, MAX_PIECES = 200_000, 300_000
+MAX_STATES, MAX_PIECES = 20_000, 100_000
 
 
 def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -47,18 +47,20 @@ class Transducer:
         self.ranks = ranks
         self.bytes = {i: t for t, i in ranks.items()}
         self.max_states = max_states
-        self._next: list[dict[int, int]] = [{}]
+        self._next: dict[int, int] = {}  # node * 256 + byte to node
+        self._inner: set[int] = set()
         self._token: list[int | None] = [None]
         self._depth: list[int] = [0]
         for t, i in ranks.items():
             node = 0
             for b in t:
-                if b not in self._next[node]:
-                    self._next[node][b] = len(self._next)
-                    self._next.append({})
+                to = self._next.get(node << 8 | b)
+                if to is None:
+                    to = self._next[node << 8 | b] = len(self._token)
+                    self._inner.add(node)
                     self._token.append(None)
                     self._depth.append(self._depth[node] + 1)
-                node = self._next[node][b]
+                node = to
             self._token[node] = i
         self._length = {i: len(t) for t, i in ranks.items()}
         # the two parts that a token is last merged from, and whether the merges make it at all;
@@ -79,7 +81,7 @@ class Transducer:
         self._heads: dict[int, list] = {}
         self._number: dict[tuple, int] = {}
         self._states: list[tuple] = []
-        self._moves: list[dict[int, tuple[int, int]]] = []
+        self._moves: list[dict[int, tuple[int, int]] | None] = []
         self._state(((-1, 0),))
 
     def _state(self, live: tuple) -> int:
@@ -87,7 +89,7 @@ class Transducer:
         if found is None:
             found = self._number[live] = len(self._states)
             self._states.append(live)
-            self._moves.append({})
+            self._moves.append(None)
         return found
 
     def _merge(self, data: bytes, until: int = 1) -> list[int]:
@@ -136,10 +138,10 @@ class Transducer:
         """The next state and the token that closes here."""
         live, closed = [], -1
         for last, node in self._states[state]:
-            to = self._next[node].get(byte)
+            to = self._next.get(node << 8 | byte)
             if to is None:
                 continue
-            if self._next[to]:
+            if to in self._inner:
                 live.append((last, to))
             token = self._token[to]
             if closed < 0 and token in self._made and self._may_follow(last, token):
@@ -147,7 +149,10 @@ class Transducer:
         if closed < 0:
             raise ValueError("a byte is missing from the vocabulary")
         live.append((closed, 0))
-        found = self._moves[state][byte] = (self._state(tuple(live)), closed)
+        found = (self._state(tuple(live)), closed)
+        if self._moves[state] is None:
+            self._moves[state] = {}
+        self._moves[state][byte] = found
         return found
 
     def encode(self, data: bytes) -> list[int]:
@@ -159,7 +164,8 @@ class Transducer:
             self._reset()
         moves, state, closed = self._moves, 0, []
         for b in data:
-            state, token = moves[state].get(b) or self._step(state, b)
+            known = moves[state]
+            state, token = (known and known.get(b)) or self._step(state, b)
             closed.append(token)
         return self._back(closed, len(closed))
 
@@ -167,7 +173,8 @@ class Transducer:
         """Ranks of one match, each given out as soon as all live hypotheses begin with it."""
         state, closed = 0, []
         for b in data:
-            state, token = self._moves[state].get(b) or self._step(state, b)
+            known = self._moves[state]
+            state, token = (known and known.get(b)) or self._step(state, b)
             closed.append(token)
             paths = [self._back(closed, len(closed) - self._depth[node]) for _, node in self._states[state]]
             n = 0
@@ -282,6 +289,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids for each row of ``docs`` (doc_id, text); null and empty texts have no ids."""
     name = _send(docs, path)
 
+    @tidied
     def run(batches):
         codec = _codec(name, pattern)
         for batch in batches:
@@ -295,6 +303,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text for each row of ``encoded`` (doc_id, ids); null ids give an empty text."""
     name = _send(encoded, path)
 
+    @tidied
     def run(batches):
         codec = _codec(name, pattern)
         for batch in batches:
@@ -314,6 +323,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     name = _send(docs, path)
 
+    @tidied
     def run(batches):
         codec = _codec(name, pattern)
         for batch in batches:

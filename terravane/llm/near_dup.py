@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from terravane.llm.common import Scratch, connected_components
+from terravane.llm.common import Scratch, connected_components, tidied
 from terravane.llm.shingles import chunks, mix, shingle_sets
 
 PERMUTATIONS, BANDS, ROWS = 64, 21, 6
@@ -70,6 +70,7 @@ def _set_hash(s: np.ndarray) -> int:
 SIGNED = "doc_id long, node long, n_shingles long, bands array<long>"
 
 
+@tidied
 def _sign(batches):
     for batch in batches:
         for a, b, data, offsets in chunks(batch.column(1)):
@@ -87,6 +88,7 @@ def _sign(batches):
             )
 
 
+@tidied
 def _sets(batches):
     for batch in batches:
         for _, _, data, offsets in chunks(batch.column(1)):

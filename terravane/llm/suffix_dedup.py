@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Scratch
+from terravane.llm.common import Scratch, tidied
 from terravane.llm.near_dup import BROADCAST_IDS
 from terravane.llm.shingles import chunks, mix
 
@@ -92,6 +92,7 @@ def _valid(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 RUNS = "key long, run long, th long, start long, n int, kind int"
 
 
+@tidied
 def _array(batches):
     """Runs (kind 0), and stretches that repeat within a run of a periodic text (kind 1), of (th, text)."""
     for batch in batches:
@@ -175,6 +176,7 @@ class SuffixIndex:
         self.levels = []
 
 
+@tidied
 def _cut(batches):
     """Bytes of the wanted runs of (th, text, runs), some texts at a time."""
     for batch in batches:
@@ -207,6 +209,7 @@ def _block(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(th[r], pa.int64()), pa.array(s + shift, pa.int64()), pa.array(e + shift, pa.int64())], names=["th", "start", "end"])
 
 
+@tidied
 def _compare(batches):
     """Rows sorted by key, compared in blocks of whole keys."""
     rows, size, last = [], 0, None
@@ -222,6 +225,7 @@ def _compare(batches):
         yield _block(rows)
 
 
+@tidied
 def _spell(batches):
     """The hash of each string of each row."""
     for batch in batches:
@@ -298,6 +302,7 @@ def _texts(batch: pa.RecordBatch):
             yield t.as_buffer().to_pybytes() if t.is_valid else None, _merged(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]])
 
 
+@tidied
 def _digest(batches):
     for batch in batches:
         out = []
@@ -327,6 +332,7 @@ def digests(docs: DataFrame, batches: int = 3) -> DataFrame:
     )
 
 
+@tidied
 def _strip(batches):
     for batch in batches:
         # a cut within a code point takes all of it
