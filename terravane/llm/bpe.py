@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from terravane.llm.common import limit_batches, tidied
 
 #: The most states of the transducer, and the most cached matches, that one worker keeps.
-MAX_STATES, MAX_PIECES = 20_000, 100_000
+MAX_STATES, MAX_PIECES = 50_000, 160_000
 
 
 def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -126,26 +126,36 @@ class Transducer:
             starts = self._heads.get(right)
             if starts is None:
                 starts = self._heads[right] = self._edge(right, 0)
-            found = known[right] = not any(
-                # of equal ranks the leftmost merge is first
-                max(born_x, born_y) < min(gone_x, gone_y) and (rank := self.ranks.get(x + y)) is not None and rank < gone_x and rank <= gone_y
-                for born_x, gone_x, x in ends
-                for born_y, gone_y, y in starts
-            )
+            found = known[right] = not self._joined_by_a_merge(ends, starts)
         return found
 
+    def _joined_by_a_merge(self, ends: list, starts: list) -> bool:
+        rank_of = self.ranks.get
+        for born_x, gone_x, x in ends:
+            for born_y, gone_y, y in starts:
+                if born_x < gone_y and born_y < gone_x:
+                    rank = rank_of(x + y)
+                    # of equal ranks the leftmost merge is first
+                    if rank is not None and rank < gone_x and rank <= gone_y:
+                        return True
+        return False
+
     def _step(self, state: int, byte: int) -> tuple[int, int]:
         """The next state and the token that closes here."""
         live, closed = [], -1
+        following, inner, tokens, made, follows = self._next.get, self._inner, self._token, self._made, self._follows
         for last, node in self._states[state]:
-            to = self._next.get(node << 8 | byte)
+            to = following(node << 8 | byte)
             if to is None:
                 continue
-            if to in self._inner:
+            if to in inner:
                 live.append((last, to))
-            token = self._token[to]
-            if closed < 0 and token in self._made and self._may_follow(last, token):
-                closed = token
+            token = tokens[to]
+            if closed < 0 and token in made:
+                known = follows.get(last)
+                fits = known.get(token) if known else None
+                if self._may_follow(last, token) if fits is None else fits:
+                    closed = token
         if closed < 0:
             raise ValueError("a byte is missing from the vocabulary")
         live.append((closed, 0))
@@ -204,27 +214,24 @@ def decode_stream(ids: Iterable[int], token_bytes: dict[int, bytes]) -> Iterator
         yield rest
 
 
-class _Pieces(dict):
-    """Joined ids of a match, encoded when first asked for."""
+class _Recent(dict):
+    """Values made when first asked for, in two generations: when the young one is full it becomes the old one.
 
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self._encode = encode
-
-    def __missing__(self, piece: str) -> str:
-        found = self[piece] = ",".join(map(str, self._encode(piece.encode())))
-        return found
-
-
-class _Runs(dict):
-    """Bytes of a run of joined ids, decoded when first asked for."""
+    What is asked for often is carried over, what came once is forgotten.
+    """
 
-    def __init__(self, token_bytes: dict[str, bytes]) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
-        self._bytes = token_bytes
+        self._make, self._most, self._old = make, most, {}
 
-    def __missing__(self, run: str) -> bytes:
-        found = self[run] = b"".join([self._bytes[i] for i in run.split(",")])
+    def __missing__(self, key):
+        found = self._old.get(key)
+        if found is None:
+            found = self._make(key)
+        if len(self) >= self._most:
+            self._old = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
@@ -236,16 +243,13 @@ class Codec:
 
         self.transducer = Transducer(ranks)
         self._find = regex.compile(pattern).findall
-        self._pieces = _Pieces(self.transducer.encode)
-        self._runs = _Runs({str(i): t for i, t in self.transducer.bytes.items()})
-        self.max_pieces = max_pieces
+        token_bytes = {str(i): t for i, t in self.transducer.bytes.items()}
+        self._pieces = _Recent(lambda piece: ",".join(map(str, self.transducer.encode(piece.encode()))), max_pieces // 2)
+        self._runs = _Recent(lambda run: b"".join([token_bytes[i] for i in run.split(",")]), max_pieces // 2)
 
     def _joined(self, text: str | None) -> list[str]:
         """Joined ids of each match."""
         cache = self._pieces
-        if len(cache) > self.max_pieces:
-            cache.clear()
-            self._runs.clear()
         return [cache[p] for p in self._find(text)] if text else []
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
