@@ -291,7 +291,7 @@ def _kept(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def _texts(batch: pa.RecordBatch):
     """(bytes, spans) of each row's columns text and spans, some rows at a time; None for a null text."""
-    text, spans = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "spans"))
+    text, spans = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "_spans"))
     for a in range(0, batch.num_rows, 256):
         part = spans[a : a + 256]
         flat = part.flatten()
@@ -314,7 +314,7 @@ def _digest(batches):
 
 def _with_spans(docs: DataFrame, batches: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
-    spans = repeated_spans(docs.select("text"), scratch, batches).withColumnRenamed("th", "_th")
+    spans = repeated_spans(docs.select("text"), scratch, batches).withColumnsRenamed({"th": "_th", "spans": "_spans"})
     spans = scratch.keep(spans, "spans")
     return docs.join(spans, F.xxhash64("text") == F.col("_th"), "left").drop("_th")
 
@@ -327,7 +327,7 @@ def digests(docs: DataFrame, batches: int = 3) -> DataFrame:
     lose all bytes from 200 on; null ids are returned as they come; other
     columns are ignored; an empty table gives an empty result.
     """
-    return _with_spans(docs.select("doc_id", "text"), batches).select("doc_id", "text", "spans").mapInArrow(
+    return _with_spans(docs.select("doc_id", "text"), batches).select("doc_id", "text", "_spans").mapInArrow(
         _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
@@ -337,7 +337,7 @@ def _strip(batches):
     for batch in batches:
         # a cut within a code point takes all of it
         texts = [None if raw is None else _kept(raw, gone).decode("utf-8", "ignore") for raw, gone in _texts(batch)]
-        names = [n for n in batch.schema.names if n != "spans"]
+        names = [n for n in batch.schema.names if n != "_spans"]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
 
 
