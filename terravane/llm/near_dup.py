@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -67,7 +67,7 @@ def _set_hash(s: np.ndarray) -> int:
     return int(mix(np.sum(mix(s, _FOLD), keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else 0
 
 
-SIGNED = "doc_id long, node long, n_shingles long, bands array<long>"
+SIGNED = "doc_id long, node long, n_shingles long, bands array<long>, th long"
 
 
 @tidied
@@ -83,8 +83,9 @@ def _sign(batches):
                     pa.array([_set_hash(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    batch.column(2)[a:b],
                 ],
-                names=["doc_id", "node", "n_shingles", "bands"],
+                names=["doc_id", "node", "n_shingles", "bands", "th"],
             )
 
 
@@ -98,10 +99,17 @@ def _sets(batches):
             )
 
 
+def text_hash() -> Column:
+    """The 64-bit hash that a row's text is known by; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``docs`` with a table of ids (column id); the ids are broadcast only if few."""
+    """Semi or anti join of ``docs`` with a table of ids, of text hashes or of both (columns id, th); broadcast only if few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), how)
+    ids = ids.withColumnsRenamed({c: f"_{c}" for c in ids.columns})
+    by = {"_id": F.col("doc_id").eqNullSafe(F.col("_id")), "_th": text_hash() == F.col("_th")}
+    return docs.join(F.broadcast(ids) if few else ids, [by[c] for c in ids.columns], how)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -116,17 +124,9 @@ def _sizes_fit(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
-
-    Null, empty and blank texts have no shingles and are linked with nothing;
-    their component is their own id. Rows that repeat an id are each returned,
-    judged by their own text. A null id is never a component's id unless all of
-    its ids are null; such rows are kept. Other columns are ignored; an empty
-    table gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
+def _placed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, th (the text's hash), n_shingles, node of the component (null without shingles) and component_id for each row."""
+    rows = docs.select("doc_id", "text", text_hash().alias("th"))
     signed = scratch.keep(rows.mapInArrow(_sign, SIGNED), "signed")
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = scratch.keep(nodes, "nodes")
@@ -151,8 +151,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     merged = connected_components(links.union(more), scratch).withColumnRenamed("id", "node")
     members = nodes.select("node", "doc_id").join(merged, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = members.join(least, "component").select(F.col("node").alias("_node"), "component_id")
-    out = signed.select("doc_id", "node", "n_shingles").join(named, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left")
+    named = members.join(least, "component").select(F.col("node").alias("_node"), "component", "component_id")
+    out = signed.select("doc_id", "th", "node", "n_shingles").join(named, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "th", "n_shingles", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
+
+    Null, empty and blank texts have no shingles and are linked with nothing;
+    their component is their own id. Rows that repeat an id are each returned,
+    judged by their own text. A null id is never a component's id unless all of
+    its ids are null; such rows are kept. Other columns are ignored; an empty
+    table gives an empty result.
+    """
+    out = _placed(docs, Scratch(docs.sparkSession))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -178,10 +191,25 @@ def _prefix_pairs(scratch: Scratch, open_nodes: DataFrame, sets: DataFrame) -> D
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: of each component the row with its smallest id.
+    """``docs`` with one row of each group of near-duplicates: of each component the one with its smallest id, null ids last.
 
-    Repeated rows of that id stay together.
+    Of rows that share that id the smallest hash of the text decides, then that
+    of the whole row. Texts without shingles all stay.
     """
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.keep(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    return pick(docs, gone, "left_anti").select(*docs.columns)
+    placed = _placed(docs, scratch).where("n_shingles > 0").groupBy("component", F.col("doc_id").alias("id"), "th").agg(F.count("*").alias("c"))
+    placed = scratch.keep(placed, "placed")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
+    first = placed.groupBy(F.col("component").alias("_component")).agg(F.min(order).alias("top"))
+    top = first.select("_component", F.col("top.id").alias("_id"), F.col("top.th").alias("_th"))
+    chosen = (F.col("component") == F.col("_component")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    gone = scratch.keep(placed.join(top, chosen, "left_anti").select("id", "th"), "gone")
+    kept = placed.where("c > 1").join(top, chosen, "left_semi")
+    again = scratch.keep(kept.select("id", "th"), "again")
+    out = pick(docs, gone, "left_anti")
+    if again.limit(1).count():
+        # copies of a kept row down to its id and text
+        row = F.struct(*docs.columns)
+        one = pick(out, again, "left_semi").groupBy("doc_id", text_hash().alias("_th")).agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
+        out = pick(out, again, "left_anti").unionByName(one)
+    return out.select(*docs.columns)

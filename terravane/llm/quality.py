@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm.common import WORD, Scratch, crc_mod
-from terravane.llm.near_dup import pick
+from terravane.llm.near_dup import pick, text_hash
 
 #: Most labelled rows that the model is fitted on, those with the smallest hashes of their ids.
 TRAIN_ROWS = 10_000
@@ -142,6 +142,22 @@ class RuleModel:
         return 1 / (1 + F.exp(-total))
 
 
+def _scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The columns of ``score`` and th, the text's hash."""
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    stats = statistics(F.col("_text"), F.col("_words"))
+    names = list(stats)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    laid = docs.select("doc_id", text_hash().alias("th"), text.alias("_text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
+    table = scratch.keep(laid.select("doc_id", "th", held.alias("held_out"), *[c.alias(n) for n, c in stats.items()]), "statistics")
+    known = labels.where("quality is not null").where(~held).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
+    sample = table.where("not held_out").dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    rows = sample.select("y", *names).toPandas().to_numpy(dtype=float)
+    model = RuleModel(names, rows[:, 1:], rows[:, 0])
+    scored = table.select("doc_id", "th", "held_out", F.round(model.expression(), 9).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs`` (doc_id, text).
 
@@ -153,23 +169,12 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) ->
     as they come; other columns are ignored; an empty table gives an empty
     result. Statistics are computed once and written to the shared folder.
     """
-    scratch = Scratch(docs.sparkSession)
-    held = crc_mod(F.col("doc_id"), 5) == 0
-    stats = statistics(F.col("_text"), F.col("_words"))
-    names = list(stats)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    laid = docs.select("doc_id", text.alias("_text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
-    table = scratch.keep(laid.select("doc_id", held.alias("held_out"), *[c.alias(n) for n, c in stats.items()]), "statistics")
-    known = labels.where("quality is not null").where(~held).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    sample = table.where("not held_out").dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = sample.select("y", *names).toPandas().to_numpy(dtype=float)
-    model = RuleModel(names, rows[:, 1:], rows[:, 0])
-    scored = table.select("doc_id", "held_out", F.round(model.expression(), 9).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return _scored(docs, labels, Scratch(docs.sparkSession)).drop("th")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text the classifier rejects."""
     scratch = Scratch(docs.sparkSession)
-    rejected = scratch.keep(score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("id")).distinct(), "rejected")
+    # the score is the text's alone, so ids that are null or repeated do not matter
+    rejected = scratch.keep(_scored(docs, labels, scratch).where("predicted = 0").select("th").distinct(), "rejected")
     return pick(docs, rejected, "left_anti").select(*docs.columns)

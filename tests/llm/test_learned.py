@@ -39,6 +39,15 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.keep_good(docs(rows), labels).columns == docs(rows).columns
 
 
+def test_texts_are_rejected_not_ids(spark, docs):
+    good = [f"The house number {i} stands by the river and has a garden." for i in range(102)]
+    junk = [f"$$$ ### {i} @@@ !!! %%% ### {i} &&&" for i in range(102)]
+    rows = [(2 * i, good[i]) for i in range(100)] + [(2 * i + 1, junk[i]) for i in range(100)]
+    rows += [(None, good[100]), (None, junk[100]), (500, good[101]), (500, junk[101])]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
+    assert sorted(r.text for r in quality.keep_good(docs(rows), labels).collect()) == sorted(good)
+
+
 def test_language_on_held_out_texts(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = language.identify(docs).toPandas().merge(docs.select("doc_id", "lang", "n_chars").toPandas(), on="doc_id")

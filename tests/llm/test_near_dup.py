@@ -55,6 +55,15 @@ def test_null_ids_repeats_and_empty_table(spark, docs):
     assert near_dup.near_duplicates(docs([])).count() == 0
 
 
+def test_one_row_of_each_group_is_kept(docs):
+    same, lone = "a b c d e f g", "h i j k l m n"
+    rows = [(None, same), (3, same), (3, same), (3, same.upper()), (3, "other text of the id"), (2, "z"), (None, "q r"), (None, lone), (None, lone), (7, ""), (7, ""), (None, None)]
+    out = near_dup.keep_one(docs(rows))
+    assert out.columns == docs(rows).columns
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in out.collect())
+    assert got == sorted([("3", same), ("3", "other text of the id"), ("2", "z"), ("None", "q r"), ("None", lone), ("7", ""), ("7", ""), ("None", "")])
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
