@@ -113,7 +113,8 @@ def _array(batches):
             inside = np.arange(len(place)) - np.repeat(at, n)
             run = mix(np.add.reduceat(mix(own + inside.astype(np.uint64) * _C[3]), at))
             cols = [mix(grams[anchor]).astype(np.int64), run.astype(np.int64), th[doc[at]], place[at] - offsets[doc[at]], n, np.zeros(len(at), np.int64)]
-            tied = np.repeat(np.logical_or.reduceat((first & _POS) != (_POS - (last & _POS)), at), n)
+            # at a period of _W no window holds its anchor twice, but the run goes on from one anchor to the next
+            tied = np.repeat(np.logical_or.reduceat((first & _POS) != (_POS - (last & _POS)), at) | (n > _W), n)
             if tied.any():
                 where = np.flatnonzero(tied)
                 _, back, count = np.unique(own[where], return_inverse=True, return_counts=True)

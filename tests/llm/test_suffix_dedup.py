@@ -59,3 +59,11 @@ def test_strip_keeps_rows_and_columns(docs):
     assert out.columns == docs(rows).columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "", 2: "", 3: None, 4: "plain"}
     assert suffix_dedup.digests(docs([])).count() == 0
+
+
+def test_a_text_that_repeats_its_own_lines(docs):
+    rng = random.Random(7)
+    for period in (168, 169, 170):
+        line = noise(rng, period, "abcdefghijklmnop ")
+        check(docs, [(1, (line * 6)[:1000]), (2, noise(rng, 90) + line * 2 + line[:31] + noise(rng, 90)), (3, None)])
+        check(docs, [(1, (line * 6)[:1000]), (2, noise(rng, 300))])
