@@ -14,9 +14,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Similarity in percent from which ``near_dedup`` links texts; ``op6_minhash`` has its own.
+NEAR_PERCENT = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, NEAR_PERCENT)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

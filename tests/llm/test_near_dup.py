@@ -64,6 +64,17 @@ def test_one_row_of_each_group_is_kept(docs):
     assert got == sorted([("3", same), ("3", "other text of the id"), ("2", "z"), ("None", "q r"), ("None", lone), ("7", ""), ("7", ""), ("None", "")])
 
 
+def test_stage_links_from_four_fifths_on(spark, docs):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    at = lambda n: " ".join(words[: n + 4])  # noqa: E731  n of them
+    rows = [(1, at(100)), (2, at(80)), (3, "x " + at(79)), (4, at(62))]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(rows), "").collect()) == [1, 4]
+    assert sorted(r.doc_id for r in near_dup.keep_one(docs(rows)).collect()) == [1, 2, 4]
+    assert near_dup.banding(85) == (21, 6) and near_dup.banding(80) == (25, 5)
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
