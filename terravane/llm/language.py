@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.llm.common import crc_mod, limit_batches
@@ -20,10 +20,10 @@ from terravane.llm.shingles import chunks
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
-#: Texts sampled for each language (about), and windows of each text: the model's training rows.
+#: Most texts sampled for each language, and windows of each text: the model's training rows.
 TRAIN_TEXTS, TRAIN_WINDOWS = 600, 4
-#: Most languages and most sampled texts in all.
-MAX_LANGS, MAX_TEXTS = 1000, 20_000
+#: Sampled texts that the languages share out evenly, one each at least.
+MAX_TEXTS = 20_000
 STEPS, BATCH, RATE = 500, 64, 0.01
 #: Bytes that are cut into windows at a time.
 SLICE = STRIDE << 13
@@ -138,13 +138,17 @@ def _sample(batches):
 def train(docs: DataFrame) -> tuple[list[str], dict] | None:
     """Languages and tables from the rows whose lang is known and that are not held out; None without such rows."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod(F.col("doc_id"), 3) != 1)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
+    counts = known.groupBy("lang").count().toPandas()
+    if counts.empty:
         return None
-    langs = sorted(counts)
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(TRAIN_TEXTS / counts[lang]))])
-    lot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1e6
-    chosen = known.where(lot < F.element_at(share, F.col("lang"))).limit(MAX_TEXTS)
+    # the texts with a language's smallest hashes; lots that are drawn first leave few to be sorted
+    most = min(TRAIN_TEXTS, max(1, MAX_TEXTS // len(counts)))
+    counts["share"] = (2 * most + 40) / counts["count"]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(counts[["lang", "share"]], "lang string, share double"))
+    lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1_000_000_007)) / 1_000_000_007
+    drawn = known.join(shares, "lang").withColumn("lot", lot).where("lot < share")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id", "text"))
+    chosen = drawn.withColumn("nth", nth).where(F.col("nth") <= most)
     rows = chosen.select("lang", "text").mapInArrow(_sample, "lang string, window binary").toArrow()
     if not rows.num_rows:
         return None

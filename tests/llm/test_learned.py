@@ -65,6 +65,13 @@ def test_language_of_odd_rows(docs):
     assert {r.lang_pred for r in language.identify(docs([(1, "abc", None)])).collect()} == {"und"}
 
 
+def test_every_language_is_learned_from(spark, docs, monkeypatch):
+    monkeypatch.setattr(language, "MAX_TEXTS", 60)
+    rows = [(i, f"{chr(97 + i % 30 % 26)} text number {i}", f"l{i // 100:02}") for i in range(3000)] + [(None, "no id here", "zz")] * 50
+    langs, _ = language.train(docs(rows).coalesce(1))
+    assert langs == [f"l{i:02}" for i in range(30)] + ["zz"]
+
+
 def test_url_rules_and_model(spark):
     rows = [
         (1, "http://www.Example.com/en/x?q#f", "www.example.com", "/en/x", "www.example.com/en/", "allow"),
