@@ -42,9 +42,38 @@ def test_round_trip_and_streaming(spark, docs, library):
     assert bpe.digests(docs([]), PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_states_are_made_again_beyond_their_bound(library):
-    small = bpe.Transducer(library[0], max_states=5)
+def test_tables_are_made_again_beyond_their_bound(library):
+    small = bpe.Transducer(library[0], max_known=5)
     rng = random.Random(9)
     for _ in range(200):
-        word = "".join(rng.choice("abcdeé") for _ in range(12))
-        assert small.encode(word.encode()) == library[1]._core_bpe.encode_single_piece(word.encode())
+        words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 14))).encode() for _ in range(rng.randrange(1, 9))]
+        assert [x.tolist() for x in small.encode_all(words)] == [library[1]._core_bpe.encode_single_piece(w) for w in words]
+
+
+def test_cache_of_matches_is_made_again_beyond_its_bound(library):
+    small, rng = bpe.Codec(library[0], public_tokenizers.PATTERN, max_pieces=20), random.Random(10)
+    texts = [" ".join("".join(rng.choice("etaoin") for _ in range(6)) for _ in range(rng.randrange(30))) for _ in range(40)]
+    assert [ids for ids, _, _ in small.digests(texts)] == [library[1].encode_ordinary(t) for t in texts]
+
+
+def test_long_texts_and_matches_come_in_portions(library, monkeypatch):
+    monkeypatch.setattr(bpe, "STRETCH", 50)
+    codec = bpe.Codec(library[0], public_tokenizers.PATTERN)
+    texts = ["x y " * 500, None, "", "é" * 700, " " * 400, "ab" * 300 + " 1 é\n" * 90, "one two"]
+    for (ids, joined, decoded), t in zip(codec.digests(texts), texts, strict=True):
+        assert ids == library[1].encode_ordinary(t or "")
+        assert joined == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and decoded == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_stream_holds_back_no_more_than_live_hypotheses_need(library):
+    """What is given out after a byte is what all continuations of the match begin with, as far as the library shows it."""
+    machine, rng = bpe.Transducer(library[0]), random.Random(11)
+    for _ in range(60):
+        word = " " + "".join(rng.choice(["th", "e", "ing", "o", "n", "ä"]) for _ in range(12))
+        fed, given = [], []
+        source = (fed.append(b) or b for b in word.encode())
+        for token in machine.stream(source):
+            given.append(token)
+            done = sum(len(machine.bytes[t]) for t in given)
+            assert bytes(fed)[:done] == b"".join(machine.bytes[t] for t in given) and len(fed) - done <= 64
+        assert given == machine.encode(word.encode()) or word.encode() in library[0]
