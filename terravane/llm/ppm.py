@@ -15,7 +15,9 @@ Texts are dealt into chunks of about ``CHUNK_BYTES``. A chunk gathers its
 different strings and words with their training counts; these are summed over
 chunks, each different string is scored once, from its own context or, if it
 was never trained on, from shorter ones; and each chunk gets back the scores of
-the strings and words that it holds. No task and no broadcast holds the model.
+the strings and words that it holds, ahead of its texts. Texts pass through a
+task some at a time; it keeps the different strings of one chunk. No task and
+no broadcast holds the model.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Scratch, crc_mod
+from terravane.llm.common import Scratch, crc_mod, tidied
 from terravane.llm.shingles import chunks, word_hashes
 
 ORDER, SYMBOLS = 5, 257
@@ -57,44 +59,25 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Lookup:
-    """Open-addressing table from 64-bit codes to values, filled and read in whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(len(keys) * 4 // 3).bit_length())
-        self._shift, self._mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        slot = np.full(1 << bits, -1, np.int32)
-        where, left = self._place(keys), np.arange(len(keys), dtype=np.int32)
-        while len(left):
-            p = where[left]
-            free = slot[p] < 0
-            slot[p[free]] = left[free]
-            left = left[slot[p] != left]
-            where[left] = (where[left] + 1) & self._mask
-        del where
-        self._used = slot >= 0
-        self._keys, self._values = np.zeros(len(slot), np.uint64), np.full(len(slot), np.nan)
-        slot = slot[self._used]
-        self._keys[self._used], self._values[self._used] = keys[slot], values[slot]
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values; NaN for codes that are not there."""
-        p = self._place(keys)
-        wrong = np.flatnonzero((self._keys[p] != keys) & self._used[p])
-        while len(wrong):
-            p[wrong] = (p[wrong] + 1) & self._mask
-            wrong = wrong[(self._keys[p[wrong]] != keys[wrong]) & self._used[p[wrong]]]
-        out = self._values[p]
-        out[~self._used[p]] = np.nan
-        return out
+    """Sorted codes with their values."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(codes)
+        self._codes, self._values = codes[order], values[order]
+
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        """Values of codes that are all there."""
+        return self._values[np.searchsorted(self._codes, codes)]
+
+
+#: Partial counts of a chunk that are gathered before they are summed.
+PENDING = 1_000_000
 
 
 def _add(parts: list, codes: np.ndarray, counts: np.ndarray) -> list:
     """Collect (codes, counts), joined when much has come together."""
     parts.append((codes, counts))
-    if sum(len(c) for c, _ in parts[1:]) > 1_000_000:
+    if sum(len(c) for c, _ in parts[1:]) > PENDING:
         return [_summed(parts)]
     return parts
 
@@ -108,32 +91,49 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
 
-def _gather(rows: pa.Table) -> pa.Table:
-    """Different strings (kind 0) and words (kind 1) of a chunk with their counts in its training texts."""
-    kinds: tuple[list, list] = ([], [])
-    for column in ("text", "held_out"):
-        rows = rows.set_column(rows.schema.get_field_index(column), column, rows.column(column).combine_chunks())
-    texts, held = rows.column("text").chunk(0), rows.column("held_out").to_numpy().astype(bool)
-    for a, b, data, offsets in chunks(texts):
-        for kind, (codes, at) in enumerate((string_codes(data, offsets), _words(data, offsets))):
-            train = np.repeat(~held[a:b], np.diff(at))
-            new, counts = np.unique(codes[train], return_counts=True)
-            kinds[kind][:] = _add(kinds[kind], new, counts)
-            if not train.all():
-                other = np.unique(codes[~train])
-                kinds[kind][:] = _add(kinds[kind], other, np.zeros(len(other), np.int64))
-    kinds[1][:] = _add(kinds[1], np.array([_END_WORD]), np.array([(~held).sum()]))
-    sums = [_summed(k) for k in kinds]
-    chunk = rows.column("chunk")[0].as_py()
-    n = [len(c) for c, _ in sums]
-    return pa.table(
-        {
-            "chunk": pa.array(np.full(sum(n), chunk), pa.int32()),
-            "kind": pa.array(np.repeat([0, 1], n), pa.int32()),
-            "code": pa.array(np.concatenate([c for c, _ in sums]).astype(np.int64)),
-            "n": pa.array(np.concatenate([c for _, c in sums])),
-        }
-    )
+PARTS = "chunk int, kind int, code long, n long"
+
+
+def _runs(batch: pa.RecordBatch):
+    """(chunk, first row, end row) of a batch that is sorted by its first column."""
+    chunk = batch.column(0).to_numpy()
+    at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
+    for a, b in zip(at, [*at[1:], len(chunk)], strict=True):
+        yield int(chunk[a]), int(a), int(b)
+
+
+@tidied
+def _gather(batches):
+    """Different strings (kind 0) and words (kind 1) of each chunk with their counts in its training texts; rows come sorted by chunk."""
+    now, kinds, texts = None, ([], []), 0
+
+    def told():
+        kinds[1][:] = _add(kinds[1], np.array([_END_WORD]), np.array([texts]))
+        for kind in (0, 1):
+            codes, counts = _summed(kinds[kind])
+            for a in range(0, len(codes), 100_000):
+                n = len(codes[a : a + 100_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, now, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(codes[a : a + n].view(np.int64)), pa.array(counts[a : a + n])], names=["chunk", "kind", "code", "n"]
+                )
+
+    for batch in batches:
+        for chunk, first, end in _runs(batch):
+            if chunk != now:
+                if now is not None:
+                    yield from told()
+                now, texts = chunk, 0
+            held = batch.column(1).slice(first, end - first).to_numpy(zero_copy_only=False).astype(bool)
+            texts += int((~held).sum())
+            for a, b, data, offsets in chunks(batch.column(2).slice(first, end - first)):
+                for kind, (codes, at) in enumerate((string_codes(data, offsets), _words(data, offsets))):
+                    train = np.repeat(~held[a:b], np.diff(at))
+                    kinds[kind][:] = _add(kinds[kind], *np.unique(codes[train], return_counts=True))
+                    if not train.all():
+                        other = np.unique(codes[~train])
+                        kinds[kind][:] = _add(kinds[kind], other, np.zeros(len(other), np.int64))
+    if now is not None:
+        yield from told()
 
 
 def _low(column: str, order: int):
@@ -171,6 +171,7 @@ def score_strings(strings: DataFrame, scratch: Scratch) -> DataFrame:
             left = left.withColumn("_low", _low("code", k - 1)).join(counts, "_low", "left")
             left = left.select("code", F.coalesce("_n", F.lit(0)).alias("n"), "log", "x", "d_x")
     done.append(left.select("code", (F.col("log") - F.log10(F.greatest(F.lit(1), F.lit(SYMBOLS) - F.col("d_x")))).alias("value")))
+    scratch.drop(*[seen[k] for k in range(ORDER)])
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -178,46 +179,58 @@ def score_strings(strings: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _judge(n_all: int, n_different: int):
+    """The function for mapInArrow that scores texts (part 2); their chunk's strings (part 0) and words (part 1) come before them."""
     norm = n_all + 0.5 * (n_different + 1)
 
-    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        tables = []
-        for k in (0, 1):
-            of = known.filter(pa.array(known.column("kind").to_numpy() == k))
-            tables.append(Lookup(of.column("code").to_numpy().view(np.uint64), of.column("value").to_numpy()))
-        strings, words = tables
-        del known, of
-        pa.default_memory_pool().release_unused()
-        ends = words.get(np.array([_END_WORD]))[0]
-        texts = rows.column("text").combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        tokens, hits, base, score = [], [], [], []
-        for _, _, data, offsets in chunks(texts):
-            codes, at = string_codes(data, offsets)
-            score.append(np.add.reduceat(strings.get(codes), at[:-1]))
-            found, at = _words(data, offsets)
-            c = words.get(found)
-            sums = np.concatenate([[0.0], np.cumsum(np.log10((c + 0.5) / norm))])
-            seen = np.concatenate([[0], np.cumsum(c > 0)])
-            tokens.append(np.diff(at) + 1)
-            hits.append(seen[at[1:]] - seen[at[:-1]] + (ends > 0))
-            base.append(sums[at[1:]] - sums[at[:-1]] + np.log10((ends + 0.5) / norm))
-        del strings, words, tables
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"),
-                "held_out": rows.column("held_out"),
-                "n_tokens": pa.array(np.concatenate(tokens), pa.int64()),
-                "n_known": pa.array(np.concatenate(hits), pa.int64()),
-                "train_tokens": pa.array(np.full(rows.num_rows, n_all), pa.int64()),
-                "base_score": pa.array(np.concatenate(base)),
-                "score": pa.array(np.concatenate(score)),
-            }
-        )
+    @tidied
+    def run(batches):
+        now, parts, tables = None, ([], []), None
+        for batch in batches:
+            for chunk, first, end in _runs(batch):
+                if chunk != now:
+                    now, parts, tables = chunk, ([], []), None
+                rows = batch.slice(first, end - first)
+                part = rows.column(1).to_numpy()
+                _, words, texts = (int(x) for x in np.searchsorted(part, (0, 1, 2)))
+                for k, a, b in ((0, 0, words), (1, words, texts)):
+                    if a < b:  # ids of texts may be null, codes never are
+                        parts[k].append(tuple(rows.column(i).slice(a, b - a).to_numpy().copy() for i in (2, 3)))
+                if texts == len(part):
+                    continue
+                if tables is None:
+                    none = [(np.zeros(0, np.int64), np.zeros(0))]
+                    tables = [Lookup(np.concatenate([c for c, _ in p or none]).view(np.uint64), np.concatenate([v for _, v in p or none])) for p in parts]
+                    parts = ([], [])
+                yield _scores(rows.slice(texts), *tables, n_all, norm)
 
     return run
 
 
+def _scores(rows: pa.RecordBatch, strings: Lookup, words: Lookup, n_all: int, norm: float) -> pa.RecordBatch:
+    ends = words.get(np.array([_END_WORD]))[0]
+    tokens, hits, base, score = [], [], [], []
+    for _, _, data, offsets in chunks(rows.column(4)):
+        codes, at = string_codes(data, offsets)
+        score.append(np.add.reduceat(strings.get(codes), at[:-1]))
+        found, at = _words(data, offsets)
+        c = words.get(found)
+        sums = np.concatenate([[0.0], np.cumsum(np.log10((c + 0.5) / norm))])
+        seen = np.concatenate([[0], np.cumsum(c > 0)])
+        tokens.append(np.diff(at) + 1)
+        hits.append(seen[at[1:]] - seen[at[:-1]] + (ends > 0))
+        base.append(sums[at[1:]] - sums[at[:-1]] + np.log10((ends + 0.5) / norm))
+    out = {
+        "doc_id": rows.column(2),
+        "held_out": pa.array(rows.column(3).to_numpy() > 0),
+        "n_tokens": pa.array(np.concatenate(tokens), pa.int64()),
+        "n_known": pa.array(np.concatenate(hits), pa.int64()),
+        "train_tokens": pa.array(np.full(rows.num_rows, n_all), pa.int64()),
+        "base_score": pa.array(np.concatenate(base)),
+        "score": pa.array(np.concatenate(score)),
+    }
+    return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -226,7 +239,8 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     Null texts count as empty, which is an end alone; repeated rows are learned
     from and scored each; null ids hash as empty text; without training texts
-    all strings have equal probabilities; other columns are ignored; an empty
+    all strings have equal probabilities; a very long text is counted and
+    scored in memory by itself, whole; other columns are ignored; an empty
     table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
@@ -234,11 +248,14 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
-    parts = scratch.keep(rows.groupBy("chunk").applyInArrow(_gather, "chunk int, kind int, code long, n long"), "parts")
+    dealt = rows.select("chunk", "held_out", "text").repartition("chunk").sortWithinPartitions("chunk")
+    parts = scratch.keep(dealt.mapInArrow(_gather, PARTS), "parts")
     sums = scratch.keep(parts.groupBy("kind", "code").agg(F.sum("n").alias("n")), "sums")
     words = sums.where("kind = 1").select("kind", "code", F.col("n").cast("double").alias("value"))
     size = sums.where("kind = 1 and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     strings = score_strings(sums.where("kind = 0").select("code", "n"), scratch)
-    values = scratch.keep(strings.select(F.lit(0).alias("kind"), "code", "value").unionByName(words), "values")
-    fetched = parts.select("chunk", "kind", "code").join(values, ["kind", "code"]).select("chunk", "kind", "code", "value")
-    return rows.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(_judge(size["n"], size["v"]), SCORES)
+    values = strings.select(F.lit(0).alias("kind"), "code", "value").unionByName(words)
+    fetched = parts.join(values, ["kind", "code"]).select("chunk", F.col("kind").alias("part"), F.col("code").alias("doc_id"), "value", F.lit(None).cast("string").alias("text"))
+    texts = rows.select("chunk", F.lit(2).alias("part"), "doc_id", F.col("held_out").cast("double").alias("value"), "text")
+    laid = fetched.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "part")
+    return laid.mapInArrow(_judge(size["n"], size["v"]), SCORES)

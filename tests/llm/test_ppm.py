@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -63,6 +64,20 @@ def test_equals_brute_force(docs, chunk_bytes):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], abs=1e-9) and g[6] == pytest.approx(w[6], abs=1e-6)
 
 
+def test_long_texts_and_partial_sums_equal_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(ppm, "PENDING", 50)
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["the", "cat", "sat", "Ön", "mat"]) for _ in range(160_000))
+    assert len(long.encode()) > 600_000
+    rows = [(i, "the cat sat on a mat") for i in range(12)] + [(20, long), (21, long[:1000]), (None, "null id"), (None, "null id")]
+    held = {i: crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows}
+    model = Brute([t for i, t in rows if not held[i]])
+    got = ppm.score(docs(rows), 1 << 14).collect()
+    want = [(str(i), held[i], model.score(t)) for i, t in rows if t is not long] + [("20", held[20], model.score(long))]
+    for g, w in zip(sorted((str(r.doc_id), r.held_out, r.score) for r in got), sorted(want), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-9)
+
+
 def test_probabilities_add_up_to_one():
     model = Brute(["abracadabra", "abc", "bcd"])
     for context in ([257] * K, list(b"dabra"), list(b"zzzzz"), list(b"xxabr")):
