@@ -4,9 +4,10 @@ import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import pyarrow as pa
 import pytest
 
-from terravane.llm import ppm
+from terravane.llm import ppm, shingles
 
 K = ppm.ORDER
 
@@ -64,8 +65,18 @@ def test_equals_brute_force(docs, chunk_bytes):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], abs=1e-9) and g[6] == pytest.approx(w[6], abs=1e-6)
 
 
-def test_long_texts_and_partial_sums_equal_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(ppm, "PENDING", 50)
+def test_partial_counts_are_summed(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(90))) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i // 40] * 20, pa.int32()), pa.array([i % 3 == 0] * 20), pa.array(texts[i : i + 20])], names=["chunk", "held_out", "text"]) for i in (0, 20, 40)]
+    told = lambda: sorted(r for b in ppm._gather(batches) for r in zip(*b.to_pydict().values()))
+    whole = told()
+    monkeypatch.setattr(ppm, "PENDING", 3)
+    monkeypatch.setattr(shingles, "CHUNK", 64)
+    assert told() == whole and {c for c, *_ in whole} == {0, 1} and sum(n for _, k, _, n in whole if k == 0) > 0
+
+
+def test_long_texts_equal_brute_force(docs):
     rng = random.Random(8)
     long = " ".join(rng.choice(["the", "cat", "sat", "Ön", "mat"]) for _ in range(160_000))
     assert len(long.encode()) > 600_000
