@@ -32,6 +32,19 @@ def crc_mod(col: Column, m: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_id(text: Column) -> Column:
+    """The 128 bits by which equal texts are known."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Arrow batches of 1000 rows and 4 MB at most in this session, unless its owner has set other limits.
 

@@ -53,6 +53,64 @@ def test_many_versions_of_one_anchor_are_compared_by_hash(docs, monkeypatch):
     check(docs, rows, batches=5)
 
 
+def test_levels_merge_geometrically_and_results_do_not_depend_on_batches(docs, spark):
+    rng = random.Random(16)
+    passage = noise(rng, 300)
+    rows = [(i, noise(rng, 150) + (passage[i % 40 : 230 + i % 60] if i % 3 else "") + noise(rng, 150)) for i in range(70)] + [(100, passage), (101, passage), (102, None)]
+    check(docs, rows, batches=11)
+    scratch = suffix_dedup.Scratch(spark)
+    index = suffix_dedup.SuffixIndex(scratch)
+    sizes, entries = [], 0
+    for i in range(9):
+        grams = [(bytes([i, j]) * 16,) for j in range(3)] + [(b"x" * 32,)] * (2 if i == 4 else 1)
+        index.add(spark.createDataFrame(grams, "gram binary"))
+        sizes.append([n for n, _, _ in index.levels])
+    assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1], [4, 2, 1, 1], [8, 1]]
+    for _, name, path in index.levels:
+        entries += spark.table(name).count()
+        for part in sorted(spark.table(name).inputFiles()):
+            held = [bytes(r.gram) for r in spark.read.parquet(part).collect()]
+            assert held == sorted(held) and len(set(held)) == len(held)
+    assert entries == 8 * 3 + 1 + 3 + 1 and {bytes(r.gram) for r in index.found().collect()} == {b"x" * 32}
+    names = [name for _, name, _ in index.levels]
+    index.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_suffix_ranks_are_by_content():
+    import numpy as np
+
+    rng = random.Random(17)
+    part = bytes(rng.randrange(3) for _ in range(700))
+    raw = part + bytes(rng.randrange(256) for _ in range(400)) + part[100:420] + b"\0" * 500 + part[300:520]
+    places = np.arange(len(raw) - 199)
+    seen = Counter(raw[i : i + 200] for i in places.tolist())
+    ranks = suffix_dedup.suffix_ranks(np.frombuffer(raw, np.uint8), places).tolist()
+    again = sorted({raw[i : i + 200] for i in places.tolist() if seen[raw[i : i + 200]] > 1})
+    assert len(again) > 100
+    for i in places.tolist():
+        text = raw[i : i + 200]
+        assert (ranks[i] >= 0) == (seen[text] > 1)
+    assert sorted({(r, raw[i : i + 200]) for i, r in enumerate(ranks) if r >= 0}) == [(r, t) for r, t in zip(sorted({r for r in ranks if r >= 0}), again, strict=True)]
+
+
+def test_texts_over_a_mebibyte(docs):
+    rng = random.Random(18)
+    unit = noise(rng, 50_000)
+    passage = noise(rng, 400)
+    long = [noise(rng, 40_000) + "".join(chr(97 + rng.randrange(26)) for _ in range(1_100_000)) for _ in range(2)]
+    rows = [(1, long[0] + passage + unit), (2, unit[:30_000] + long[1] + passage[50:]), (3, passage), (4, long[0][1_040_000:1_060_000]), (None, "")]
+    data = {i: (t or "").encode() for i, t in rows}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs(rows)).collect()}
+    cut = lambda d, *spans: b"".join(d[a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(d)]))
+    one, two, mid = data[1], data[2], data[4]
+    first = [(one.index(mid), one.index(mid) + len(mid)), (len(long[0].encode()), len(long[0].encode()) + len((passage + unit[:30_000]).encode()))]
+    second = [(0, len(unit[:30_000].encode())), (len((unit[:30_000] + long[1]).encode()), len(two))]
+    for i, spans in ((1, first), (2, second), (3, [(0, len(data[3]))]), (4, [(0, len(mid))]), (None, [])):
+        d = data[i]
+        assert got[i] == (len(d), sum(e - s for s, e in spans), len(spans), hashlib.sha256(cut(d, *spans)).hexdigest()), i
+
+
 def test_strip_keeps_rows_and_columns(docs):
     rows = [(1, "é" * 150), (2, "é" * 150), (3, None), (4, "plain")]
     out = suffix_dedup.strip_repeats(docs(rows))
