@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.llm.common import WORD, Scratch
+from terravane.llm.common import WORD, Scratch, free_name
 
 BINS = 4096
 
@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     ``share`` is the wanted total over the sum of all sizes, ``max_epochs`` the
     cap of a source over its size. Null or empty texts have size 0 and take 0
     words; a null source is a source of its own, after all others; a null id
-    hashes as empty text; repeated rows count each; other columns are ignored;
+    hashes as empty text; repeated rows count each; very long texts count whole;
+    sources of equal fill are taken by code point; other columns are ignored;
     an empty table gives an empty result; a source without words gets target 0.
     """
     scratch = Scratch(docs.sparkSession)
@@ -94,16 +95,20 @@ def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
 
     Nothing is cut within a document here: those of a source's last bin come in
     once more if at least half of the bin is wanted. Texts stay where they are
-    read; what is joined to them is the table of sources and bins.
+    read; what is joined to them is the table of sources and bins. Null and
+    empty texts have no words and come as often as their bin does; a null
+    source is a source of its own; null ids hash as empty text; repeated rows
+    count each; very long texts count whole; other columns stay, whatever their
+    names; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    binned = docs.withColumn("_bin", seeded_bin(F.col("doc_id"), seed))
-    cut = _cuts(binned.select("source", F.col("_bin").alias("bin"), n_words(F.col("text")).alias("size")), scratch, weights, share, max_epochs)
+    bin_, of, no, repeat, copy = (free_name(docs, f"_{n}") for n in ("bin", "bin_source", "bin_no", "repeats", "copy"))
+    cut = _cuts(docs.select("source", seeded_bin(F.col("doc_id"), seed).alias("bin"), n_words(F.col("text")).alias("size")), scratch, weights, share, max_epochs)
     repeats = F.col("epochs") + F.when(F.col("part") >= 0.5, 1).otherwise(0)
-    plan = scratch.keep(cut.select("bin_source", "bin_no", repeats.cast("int").alias("_repeats")).where("_repeats > 0"), "plan")
+    plan = scratch.keep(cut.select(F.col("bin_source").alias(of), F.col("bin_no").alias(no), repeats.cast("int").alias(repeat)).where(F.col(repeat) > 0), "plan")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_BINS else plan
-    laid = binned.join(plan, F.col("source").eqNullSafe(F.col("bin_source")) & (F.col("_bin") == F.col("bin_no")))
-    return laid.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    laid = docs.withColumn(bin_, seeded_bin(F.col("doc_id"), seed)).join(plan, F.col("source").eqNullSafe(F.col(of)) & (F.col(bin_) == F.col(no)))
+    return laid.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(repeat)))).select(*docs.columns)
 
 
 ORACLE = rf"""

@@ -19,13 +19,15 @@ expanded into all its pairs.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from terravane.llm.common import Scratch, connected_components, tidied
+from terravane.llm.common import Scratch, connected_components, free_name, text_id, tidied
 from terravane.llm.shingles import chunks, mix, shingle_sets
 
 PERMUTATIONS = 64
@@ -75,11 +77,12 @@ def bands(signature: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return out
 
 
-def _set_hash(s: np.ndarray) -> int:
-    return int(mix(np.sum(mix(s, _FOLD), keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else 0
+def _set_id(s: np.ndarray) -> bytes | None:
+    """128 bits of a set of shingles, by which equal sets are known; None for an empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-SIGNED = "doc_id long, node long, n_shingles long, bands array<long>, th long"
+SIGNED = "doc_id long, node binary, n_shingles long, bands array<long>, th binary"
 
 
 def _sign(percent: int):
@@ -95,7 +98,7 @@ def _sign(percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
-                        pa.array([_set_hash(s) for s in sets], pa.int64()),
+                        pa.array([_set_id(s) for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                         batch.column(2)[a:b],
@@ -112,21 +115,22 @@ def _sets(batches):
         for _, _, data, offsets in chunks(batch.column(1)):
             sets = [s for s in shingle_sets(data, offsets) if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"]
+                [pa.array([_set_id(s) for s in sets], pa.binary()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"]
             )
 
 
 def text_hash() -> Column:
-    """The 64-bit hash that a row's text is known by; null counts as empty."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    """The 128 bits that a row's text is known by; null counts as empty."""
+    return text_id(F.coalesce(F.col("text"), F.lit("")))
 
 
 def pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` with a table of ids, of text hashes or of both (columns id, th); broadcast only if few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = ids.withColumnsRenamed({c: f"_{c}" for c in ids.columns})
-    by = {"_id": F.col("doc_id").eqNullSafe(F.col("_id")), "_th": text_hash() == F.col("_th")}
-    return docs.join(F.broadcast(ids) if few else ids, [by[c] for c in ids.columns], how)
+    names = {c: free_name(docs, f"_{c}") for c in ids.columns}
+    ids = ids.withColumnsRenamed(names)
+    by = {"id": lambda c: F.col("doc_id").eqNullSafe(F.col(c)), "th": lambda c: text_hash() == F.col(c)}
+    return docs.join(F.broadcast(ids) if few else ids, [by[c](name) for c, name in names.items()], how)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +160,7 @@ def _placed(docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     stars = shared.select("key", F.col("node").alias("b"), "n").join(centres.select("key", F.col("top.node").alias("a"), F.col("top.n").alias("m")), "key")
     stars = stars.where((F.col("a") != F.col("b")) & _sizes_fit("n", "m", percent)).select("a", "b").distinct()
     sets = scratch.keep(
-        pick(rows, shared.select(F.col("doc_id").alias("id")).distinct(), "left_semi").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets"
+        pick(rows, shared.select(F.col("doc_id").alias("id")).distinct(), "left_semi").mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"]), "sets"
     )
     links = scratch.keep(_confirm(stars, sets, percent), "links")
     first = connected_components(links, scratch)
@@ -179,8 +183,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Null, empty and blank texts have no shingles and are linked with nothing;
     their component is their own id. Rows that repeat an id are each returned,
     judged by their own text. A null id is never a component's id unless all of
-    its ids are null; such rows are kept. Other columns are ignored; an empty
-    table gives an empty result.
+    its ids are null; such rows are kept. Very long texts are compared whole,
+    by all their shingles. Other columns are ignored; an empty table gives an
+    empty result.
     """
     out = _placed(docs, Scratch(docs.sparkSession), percent)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -211,7 +216,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: of each component the one with its smallest id, null ids last.
 
     Of rows that share that id the smallest hash of the text decides, then that
-    of the whole row. Texts without shingles all stay.
+    of the whole row. Null, empty and blank texts have no shingles and all
+    stay. Very long texts are compared whole; other columns stay, whatever
+    their names; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     placed = _placed(docs, scratch, percent).where("n_shingles > 0").groupBy("component", F.col("doc_id").alias("id"), "th").agg(F.count("*").alias("c"))
@@ -227,6 +234,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if again.limit(1).count():
         # copies of a kept row down to its id and text
         row = F.struct(*docs.columns)
-        one = pick(out, again, "left_semi").groupBy("doc_id", text_hash().alias("_th")).agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
-        out = pick(out, again, "left_anti").unionByName(one)
+        th, one = free_name(docs, "_th"), free_name(docs, "_row")
+        firsts = pick(out, again, "left_semi").groupBy("doc_id", text_hash().alias(th)).agg(F.min_by(row, F.xxhash64(row)).alias(one)).select(f"{one}.*")
+        out = pick(out, again, "left_anti").unionByName(firsts)
     return out.select(*docs.columns)

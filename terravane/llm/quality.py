@@ -151,7 +151,9 @@ def _scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     laid = docs.select("doc_id", text_hash().alias("th"), text.alias("_text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
     table = scratch.keep(laid.select("doc_id", "th", held.alias("held_out"), *[c.alias(n) for n, c in stats.items()]), "statistics")
     known = labels.where("quality is not null").where(~held).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    sample = table.where("not held_out").dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    # of several texts of an id the one with the smallest hash, so that reruns agree
+    one = table.where("not held_out").groupBy("doc_id").agg(F.min_by(F.struct(*names), "th").alias("row")).select("doc_id", "row.*")
+    sample = one.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = sample.select("y", *names).toPandas().to_numpy(dtype=float)
     model = RuleModel(names, rows[:, 1:], rows[:, 0])
     scored = table.select("doc_id", "th", "held_out", F.round(model.expression(), 9).alias("score"))
@@ -166,14 +168,22 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) ->
     null labels and labels of unknown ids are ignored. Null and empty texts
     have all statistics 0 and a score like any other. Without labels of both
     classes every score is the same. Repeated rows and null ids are returned
-    as they come; other columns are ignored; an empty table gives an empty
-    result. Statistics are computed once and written to the shared folder.
+    as they come; of texts that share an id the one with the smallest hash is
+    learned from; very long texts are scored whole; other columns are ignored;
+    an empty table gives an empty result. Statistics are computed once and written to the shared folder.
     """
     return _scored(docs, labels, Scratch(docs.sparkSession)).drop("th")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text the classifier rejects."""
+    """``docs`` without the rows whose text the classifier rejects.
+
+    The text alone decides, so null and repeated ids are each judged by their
+    own text; null and empty texts are judged like any other; very long texts
+    are judged whole; other columns stay, whatever their names; without labels
+    of both classes all rows get one verdict; an empty table gives an empty
+    result.
+    """
     scratch = Scratch(docs.sparkSession)
     # the score is the text's alone, so ids that are null or repeated do not matter
     rejected = scratch.keep(_scored(docs, labels, scratch).where("predicted = 0").select("th").distinct(), "rejected")
