@@ -67,6 +67,31 @@ VIEWS = {
         f"""SELECT p_partkey AS place_id, {_nth(_CODES, "p_partkey % 21")} AS city, {_PLACE},
         round(p_retailprice * 10 + p_partkey % 97 * 25, 2) AS unit_price FROM {{part}}""",
     ),
+    "ad": (
+        ("lineitem", "part"),
+        f"""SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS ad_id, l_orderkey AS load_no, {_nth(_CODES, "l_suppkey % 21")} AS city, {_nth(_CODES, "l_suppkey * 7 % 21")} AS other_city,
+        {_nth("'急售,笋盘,业主诚心,,新收,低价'", "l_orderkey % 6")} || {_nth("'万科,金色,碧桂园,华府,东城,紫麟,阳光'", "l_partkey % 7")} || {_nth("'花园,家园,三期,城,公馆,苑北区,小区,一期'", "(l_partkey + l_linenumber) % 8")}
+          || {_nth("' 精装两房, 南向三房,，近地铁, 集中供暖,望京灶'", "l_suppkey % 5")} AS title,
+        CASE WHEN l_linenumber = 3 THEN NULL ELSE {_nth("'万科,金色,碧桂园,华府,东城,紫麟,阳光'", "l_partkey % 7")} || {_nth("'花园,家园北区,公馆,一期'", "l_partkey % 4")} END AS community,
+        'https://' || {_nth("'www,gz,shenzhen,m,bj,foshan'", "l_orderkey % 6")} || '.anjuke.com/prop/view/A' || CAST(l_orderkey AS STRING) || 'x' || CAST(l_linenumber AS STRING) || CASE WHEN l_partkey % 3 = 0 THEN '?from=list' ELSE '' END AS url,
+        CASE WHEN l_linenumber % 3 <> 0 THEN CAST(19.5 AS DOUBLE) + (l_partkey * 37 % 620) / CAST(100 AS DOUBLE) END AS lat,
+        CASE WHEN l_linenumber % 3 <> 0 THEN CAST(109 AS DOUBLE) + (l_partkey * 53 % 890) / CAST(100 AS DOUBLE) END AS lng,
+        CASE l_linenumber % 3 WHEN 0 THEN 'pending' ELSE 'hit' END AS geocode_status, floor(l_extendedprice / l_quantity) * 20 AS unit_price, CAST(l_shipdate AS DATE) AS seen
+        FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
+    ),
+    "gazette": (
+        ("part",),
+        f"""SELECT p_partkey AS place, {_nth(_CODES, "p_partkey % 21")} AS city, {_nth("'万科,金色,碧桂园,华府,东城,紫麟,阳光'", "p_partkey % 7")} || {_nth("'花,家园,公馆,一期,花园二区'", "p_partkey % 5")} AS community,
+        {_PLACE}, CASE p_partkey % 6 WHEN 0 THEN 'miss' WHEN 1 THEN 'pending' ELSE 'hit' END AS status FROM {{part}}""",
+    ),
+    "image": (
+        ("events",),
+        """SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'collateral' ELSE 'loan' END AS table_name,
+        CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS event_type,
+        CASE WHEN event_id % 13 = 0 THEN '{{bad' WHEN event_id % 17 = 0 THEN NULL ELSE '{{"loan_id": ' || CAST(user_id AS STRING) || ', "risk_class": "old"}}' END AS before_json,
+        CASE WHEN event_type = 'error' OR event_id % 19 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '[1' ELSE '{{"loan_id": ' || CAST(user_id AS STRING) || ', "balance": ' || CASE WHEN event_id % 5 = 0 THEN 'null' ELSE CAST(event_id % 1000 AS STRING) || '.25' END
+          || ', "collateral_id": ' || CAST(user_id * 7 AS STRING) || '}}' END AS after_json, ts AS cdc_ts, user_id FROM {events}""",
+    ),
     "change": (
         ("events",),
         """SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'collateral' WHEN 'click' THEN 'customer' ELSE 'loan' END AS table_name,
