@@ -31,13 +31,17 @@ def npl_groups(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def policy_impact(loans: DataFrame, zones: DataFrame, cap: float, radius_km: float = 5.0) -> DataFrame:
-    """For each zone: loans within its radius, those over the cap, and which of these are alerted already.
+    """For each zone: loans within its radius (great circle, R = 6371.0 km), those over the cap, and which of these are alerted already.
 
-    Zones and loans meet by grid cell, so the join grows with neighbourhoods, not with loans times zones.
+    Zones and loans meet by grid cell, so the join grows with neighbourhoods,
+    not with loans times zones; the flat distance only picks candidates.
     """
     from terravane.operators.spatial import within
 
-    pairs = within(zones.select("zone_id", F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")), loans, radius_km)
+    at = loans.withColumns({"at_lat": F.col("lat"), "at_lng": F.col("lng")})
+    spots = zones.select("zone_id", F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), F.col("center_lat").alias("at_lat"), F.col("center_lng").alias("at_lng"))
+    pairs = within(spots, at, radius_km * 1.05)
+    pairs = pairs.where(C.haversine_km(F.col("q_at_lat"), F.col("q_at_lng"), F.col("p_at_lat"), F.col("p_at_lng"), 6371.0) <= radius_km)
     hit = F.col("p_ltv") > cap
     return pairs.groupBy(F.col("q_zone_id").alias("zone_id")).agg(
         F.count("*").alias("in_scope"),

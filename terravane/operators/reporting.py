@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
@@ -20,10 +20,14 @@ def checked(rows: DataFrame) -> DataFrame:
 
 def report(detail: DataFrame) -> DataFrame:
     """Five classes and a total, by loan count, balance and share."""
-    five = class_summary(checked(detail)).select("risk_class", "class_rank", "loan_count", "balance", "balance_pct", F.lit(0).alias("is_total"))
-    total = five.agg(F.sum("loan_count").alias("loan_count"), C.money(F.col("balance")).alias("balance"))
-    total = total.select(F.lit(TOTAL).alias("risk_class"), F.lit(9).alias("class_rank"), "loan_count", "balance", F.when(F.col("balance") != 0, 1.0).otherwise(0.0).alias("balance_pct"), F.lit(1).alias("is_total"))
-    return five.unionByName(total)
+    five = class_summary(checked(detail))
+    every = Window.partitionBy(F.lit(1))  # the five rows
+    summed = five.withColumns({"_n": F.sum("loan_count").over(every), "_b": F.sum(F.col("balance").cast("decimal(18,2)")).over(every).cast("double")})
+    own = F.struct("risk_class", "class_rank", "loan_count", "balance", "balance_pct", F.lit(0).alias("is_total"))
+    total = F.struct(
+        F.lit(TOTAL).alias("risk_class"), F.lit(9).alias("class_rank"), F.col("_n").alias("loan_count"), F.col("_b").alias("balance"), F.when(F.col("_b") != 0, 1.0).otherwise(0.0).alias("balance_pct"), F.lit(1).alias("is_total")
+    )
+    return summed.select(F.inline(F.when(F.col("class_rank") == 0, F.array(own, total)).otherwise(F.array(own))))
 
 
 def reconcile(template: DataFrame, internal: DataFrame, detail: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
@@ -89,8 +89,9 @@ def class_summary(rows: DataFrame, keep_unknown: bool = False) -> DataFrame:
     five = spine(rows.sparkSession)
     out = sums.join(F.broadcast(five), "risk_class", "full") if keep_unknown else F.broadcast(five).join(sums, "risk_class", "left")
     out = out.select("risk_class", F.coalesce("class_rank", F.lit(5)).alias("class_rank"), F.coalesce("loan_count", F.lit(0)).alias("loan_count"), F.coalesce("balance", F.lit(0.0)).alias("balance"))
-    total = out.agg(C.money(F.col("balance")).alias("_total"))
-    return out.crossJoin(total).withColumn("balance_pct", F.coalesce(C.share(F.col("balance"), F.col("_total")), F.lit(0.0))).drop("_total")
+    # the window holds the classes' rows, so that loans are read once
+    total = F.sum(F.col("balance").cast("decimal(18,2)")).over(Window.partitionBy(F.lit(1))).cast("double")
+    return out.withColumn("_total", total).withColumn("balance_pct", F.coalesce(C.share(F.col("balance"), F.col("_total")), F.lit(0.0))).drop("_total")
 
 
 def review_alerts(enriched: DataFrame) -> DataFrame:

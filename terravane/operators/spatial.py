@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
+from terravane.sources.shared import stored
 
 #: Degrees of a zone's side, least listings and loans of a zone, and the share below the city's median.
 GRID, LEAST_PRICES, LEAST_LTVS, LOW_SHARE = 0.02, 20, 3, 0.25
@@ -52,25 +53,35 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, start_km: f
     """The k nearest points of each query by projected distance, ties by key.
 
     The radius doubles until every query has k within it, so what is found is
-    exact; queries that are done leave after each round.
+    exact; queries that are done leave after each round, and what a round found
+    is written, so that no round does the work of those before it.
     """
     todo, done, radius = queries.select(key, "lat", "lng"), None, start_km
     total = points.count()
+    if total <= drop_self:
+        return queries.select(key, F.lit(0).alias("neighbour"), F.lit(0.0).alias("km"), F.lit(1).alias("rank")).where("false")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("km", 9), "neighbour"))
     while True:
         near = within(todo, points.select(key, "lat", "lng"), radius)
         if drop_self:
             near = near.where(F.col(f"q_{key}") != F.col(f"p_{key}"))
         ranked = near.select(F.col(f"q_{key}").alias(key), F.col(f"p_{key}").alias("neighbour"), "km").withColumn("rank", rank).where(F.col("rank") <= k)
+        ranked = stored(ranked, "nearest")
         full = ranked.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= min(k, total - drop_self))
         kept = ranked.join(full.select(key), key, "left_semi")
         done = kept if done is None else done.unionByName(kept)
-        todo = todo.join(full.select(key), key, "left_anti")
+        todo = stored(todo.join(full.select(key), key, "left_anti"), "todo")
         if not todo.limit(1).count() or radius > 40_000:
             return done
         radius *= 2
 
 
+def neighbour_prices(queries: DataFrame, points: DataFrame, key: str, value: str, start_km: float, ks: tuple[int, ...] = (3, 8, 20, 50), drop_self: bool = True) -> DataFrame:
+    """(key, nearest_km, median_k ...): distance of the nearest point and medians of the first k, from one search for the most."""
+    found = nearest(queries, points, key, max(ks), start_km, drop_self).join(points.select(F.col(key).alias("neighbour"), F.col(value).alias("_v")), "neighbour")
+    return found.groupBy(key).agg(F.min("km").alias("nearest_km"), *[F.median(F.when(F.col("rank") <= k, F.col("_v"))).alias(f"median_{k}") for k in ks])
+
+
 def price_zones(points: DataFrame, side: float = GRID, least: int = LEAST_PRICES) -> DataFrame:
     """Cells of a city with enough listings: median price, centre, deviation from the city, and whether it is low."""
     cities = points.groupBy("city").agg(F.median("unit_price").alias("city_median"))

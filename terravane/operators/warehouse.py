@@ -36,6 +36,15 @@ def merge_listings(old: DataFrame, new: DataFrame) -> DataFrame:
     return merged.withColumn("days_on_market", days)
 
 
+DWELLING = ("city", "community", "bedrooms", "halls", "bathrooms", "area", "floor", "unit_price")
+
+
+def one_of_each_dwelling(listings: DataFrame, order: list[Column]) -> DataFrame:
+    """Listings that agree in all of DWELLING count once; those without a community, an area or a price always stay."""
+    told = F.col("community").isNotNull() & F.col("area").isNotNull() & F.col("unit_price").isNotNull()
+    return one_of_each(listings.where(told), list(DWELLING), order).unionByName(listings.where(~told))
+
+
 def repaired_age(age: Column, first_seen: Column, building_year: Column) -> Column:
     return F.coalesce(age, F.year(first_seen) - building_year)
 

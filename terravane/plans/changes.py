@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from terravane.operators import risk
 from terravane.sources.adapter import oracle, view, views
-from terravane.streaming import changes
-
-#: Bound of the ids that the DuckDB statements read; the queries read the whole log.
-CUT = 4000
+from terravane.sources.shared import stored
+from terravane.streaming import changes, log
 
 
 def impact(spark, sf_dir):
@@ -48,13 +46,68 @@ def dispatch(spark, sf_dir):
     return changes.dispatch(loans, ledger).groupBy("action").agg(F.count("*").alias("n"), F.coalesce(F.sum("attempt"), F.lit(0)).cast("long").alias("attempts"))
 
 
+def messages(spark, sf_dir):
+    return log.messages(view(spark, sf_dir, "image"), "2026-05-01")
+
+
+def kafka_records(spark, sf_dir):
+    """Keys with the numbers of their messages, after messages went through their JSON text."""
+    records = log.keyed(log.messages(view(spark, sf_dir, "image"), "2026-05-01"))
+    back = log.parsed(records, "event_id long, table_name string, event_type string, loan_id int, balance double")
+    return records.groupBy("key").count().select("key", F.col("count").alias("n")).join(log.keyed(back.withColumn("customer_id", F.lit(None))).groupBy("key").agg(F.count("*").alias("parsed")), "key", "left")
+
+
+def next_batch(spark, sf_dir):
+    return log.batch_after(view(spark, sf_dir, "change"), 900, 250).select("id", "table_name", "event_type")
+
+
+def offsets(spark, sf_dir):
+    """Offsets after a batch, after the same batch again, and after a rewind of another consumer."""
+    events = view(spark, sf_dir, "change")
+    first = spark.createDataFrame([("risk", 900), ("stream", 5000000)], "consumer string, last_id long")
+    batch = stored(log.batch_after(events, 900, 250).select("id"), "batch")
+    out = log.advance(log.advance(first, "risk", batch), "risk", batch)
+    out = log.advance(log.advance(out, "stream", batch), "report", batch.where("id < 0"))
+    return log.advance(log.rewound(out, "replay", 10), "replay", batch)
+
+
+def health(spark, sf_dir):
+    now = F.lit("2026-05-01 12:00:00").cast("timestamp")
+    at = spark.createDataFrame([("bin.000009", 500, "2026-05-01 11:00:00", "bin.000010", 4)], "file string, pos long, t string, master_file string, master_pos long").withColumn("updated_at", F.to_timestamp("t"))
+    found = log.health(at, view(spark, sf_dir, "change"), spark.createDataFrame([("risk", -2000)], "consumer string, last_id long"), "risk", now)
+    sent = spark.createDataFrame([("binlog_lag", "2026-05-01 11:45:00")], "alert_type string, t string").select("alert_type", F.to_timestamp("t").alias("alert_ts"))
+    late = sent.withColumn("alert_ts", F.to_timestamp(F.lit("2026-05-01 11:00:00")))
+    return log.throttled(found, sent, now).withColumn("sent", F.lit("lately")).unionByName(log.throttled(found, late, now).withColumn("sent", F.lit("long ago")))
+
+
+_BODY = "CASE WHEN event_type = 'DELETE' THEN before_json ELSE after_json END"
 _PLAN = f"""SELECT loan_id, CASE WHEN bool_or(gone) THEN 'delete' ELSE 'recalc' END AS action FROM (
-  SELECT entity_id AS loan_id, event_type = 'DELETE' AS gone FROM change WHERE id < {CUT} AND table_name = 'loan' AND entity_id IS NOT NULL
-  UNION ALL SELECT l.loan_id, false FROM loan l JOIN change c ON c.id < {CUT} AND (c.table_name = 'collateral' AND c.entity_id = l.collateral_id)
-  UNION ALL SELECT l.loan_id, false FROM loan l JOIN change c ON c.id < {CUT} AND (c.table_name = 'customer' AND c.entity_id = l.customer_id)) GROUP BY 1"""
+  SELECT entity_id AS loan_id, event_type = 'DELETE' AS gone FROM change WHERE table_name = 'loan' AND entity_id IS NOT NULL
+  UNION ALL SELECT l.loan_id, false FROM loan l JOIN change c ON (c.table_name = 'collateral' AND c.entity_id = l.collateral_id)
+  UNION ALL SELECT l.loan_id, false FROM loan l JOIN change c ON (c.table_name = 'customer' AND c.entity_id = l.customer_id)) GROUP BY 1"""
 _CLS = "CASE WHEN ltv IS NULL OR ltv < 0 THEN '次级' WHEN ltv <= 0.6 THEN '正常' WHEN ltv <= 0.75 THEN '关注' WHEN ltv <= 0.85 THEN '次级' WHEN ltv <= 1 THEN '可疑' ELSE '损失' END"
 
 QUERIES = {
+    "change_messages": (
+        messages,
+        oracle("image", f"""WITH b AS (SELECT *, CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN j END AS o FROM (SELECT *, {_BODY} AS j FROM image))
+        SELECT id AS event_id, table_name, event_type, strftime(cdc_ts, '%Y-%m-%d %H:%M:%S') AS cdc_ts, '2026-05-01' AS biz_date, CASE WHEN table_name = 'loan' THEN CAST(o->>'loan_id' AS INT) END AS loan_id, CAST(NULL AS INT) AS customer_id,
+        CASE WHEN table_name = 'loan' THEN CAST(o->>'collateral_id' AS INT) END AS collateral_id, CASE WHEN table_name = 'loan' THEN CAST(o->>'balance' AS DOUBLE) END AS balance, CAST(NULL AS DOUBLE) AS interest_rate, CASE WHEN table_name = 'loan' THEN o->>'risk_class' END AS risk_class,
+        CASE WHEN o IS NULL THEN '{{}}' ELSE '{{' || array_to_string(list_transform(json_keys(o), lambda k: '"' || k || '":' || coalesce('"' || (o->>k) || '"', 'null')), ',') || '}}' END AS payload FROM b"""),
+    ),
+    "change_kafka_records": (
+        kafka_records,
+        oracle("image", f"""SELECT table_name || ':' || CAST(coalesce(CASE WHEN table_name = 'loan' AND json_valid(j) AND json_type(j) = 'OBJECT' THEN CAST(j->>'loan_id' AS BIGINT) END, id) AS VARCHAR) AS key, count(*) AS n, count(*) AS parsed FROM (SELECT *, {_BODY} AS j FROM image) GROUP BY 1"""),
+    ),
+    "change_next_batch": (next_batch, oracle("change", "SELECT id, table_name, event_type FROM change WHERE id > 900 ORDER BY id LIMIT 250")),
+    "change_offsets": (
+        offsets,
+        oracle("change", "WITH b AS (SELECT max(id) AS m FROM (SELECT id FROM change WHERE id > 900 ORDER BY id LIMIT 250)) SELECT 'risk' AS consumer, coalesce(m, 900) AS last_id FROM b UNION ALL SELECT 'stream', 5000000 UNION ALL SELECT 'replay', coalesce(m, 10) FROM b"),
+    ),
+    "change_health": (
+        health,
+        oracle("change", "SELECT 'consumer_lag' AS alert_type, CAST(max(id) + 2000 AS VARCHAR) || ' events behind' AS detail, s AS sent FROM change, (VALUES ('lately'), ('long ago')) v(s) GROUP BY 3 UNION ALL SELECT 'binlog_lag', 'stands still for 3600 s at bin.000009:500', 'long ago'"),
+    ),
     "change_impact": (impact, oracle("change loan", _PLAN)),
     "change_stream_alerts": (
         stream_alerts,

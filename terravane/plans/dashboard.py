@@ -8,6 +8,7 @@ from terravane.functions import columns as C
 from terravane.operators import dashboard, risk, spatial
 from terravane.plans.risk import BASE, ENRICHED, RANK, enriched
 from terravane.sources.adapter import CITIES, oracle, view, views
+from terravane.sources.shared import stored
 
 HISTOGRAM = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.85]
 DEVIATIONS = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4]
@@ -53,8 +54,8 @@ def alert_page(spark, sf_dir):
 
 def npl_by_zone_flag(spark, sf_dir):
     rows = enriched(spark, sf_dir).withColumn("high", F.coalesce("is_high_risk_zone", F.lit(0)))
-    parts = dashboard.npl_groups(rows.withColumn("side", F.when(F.col("high") == 1, "high").otherwise("normal")), "side")
-    return parts.unionByName(dashboard.npl_groups(rows.withColumn("side", F.lit("total")), "side"))
+    sides = F.array(F.when(F.col("high") == 1, "high").otherwise("normal"), F.lit("total"))
+    return dashboard.npl_groups(rows.withColumn("side", F.explode(sides)), "side")
 
 
 def policy(spark, sf_dir):
@@ -108,13 +109,12 @@ def alert_dates(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
+    """Three days' snapshots as the stored table that pages read: one join, its loans spread over the days."""
     loans, collateral = views(spark, sf_dir, "loan", "collateral")
-    out = None
-    for i, day in enumerate(("2026-01-31", "2026-02-28", "2026-03-31")):
-        kept = loans.where(f"loan_id % 13 <> {i}").withColumn("balance", F.round(F.col("balance") * (1 + 0.1 * i * ((F.col("loan_id") % 5) - 2)), 2))
-        one = risk.enrich(kept, collateral).select(F.lit(day).cast("date").alias("snap_date"), "loan_id", "risk_class", "balance")
-        out = one if out is None else out.unionByName(one)
-    return out
+    days = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).cast("date").alias("snap_date")) for i, d in enumerate(("2026-01-31", "2026-02-28", "2026-03-31"))])
+    spread = loans.withColumn("_d", F.explode(days)).select("*", "_d.i", "_d.snap_date").where("loan_id % 13 <> i")
+    moved = spread.withColumn("balance", F.round(F.col("balance") * (1 + F.col("i") * 0.1 * ((F.col("loan_id") % 5) - 2)), 2))
+    return stored(risk.enrich(moved, collateral).select("snap_date", "loan_id", "risk_class", "balance"), "snapshots")
 
 
 def migration_matrix(spark, sf_dir):
@@ -168,7 +168,7 @@ QUERIES = {
         policy,
         oracle(BASE + " place", f"""{_E}, z AS (SELECT printf('price-%s-%.2f-%.2f', city, floor(lng / 0.2::DOUBLE) * 0.2::DOUBLE, floor(lat / 0.2::DOUBLE) * 0.2::DOUBLE) AS zone_id, round(avg(lat), 6) AS la, round(avg(lng), 6) AS ln
         FROM place GROUP BY city, floor(lng / 0.2::DOUBLE), floor(lat / 0.2::DOUBLE) HAVING count(*) >= 3),
-        k AS (SELECT zone_id, collateral_id FROM z CROSS JOIN collateral WHERE sqrt(pow((lng - ln) * {C.KM_LNG!r}::DOUBLE, 2) + pow((lat - la) * 110.57::DOUBLE, 2)) <= 5)
+        k AS (SELECT zone_id, collateral_id FROM z CROSS JOIN collateral WHERE 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lng - ln) / 2), 2))) <= 5)
         SELECT zone_id, count(*) AS in_scope, count(*) FILTER (ltv > 0.7) AS hit, count(*) FILTER (ltv > 0.7 AND ltv <= 0.85) AS newly_hit, count(*) FILTER (ltv > 0.85) AS already_alert,
         count(*) FILTER (ltv > 0.7 AND low_confidence) AS low_confidence, CAST(coalesce(sum(CAST(balance AS DECIMAL(18,2))) FILTER (ltv > 0.7), 0) AS DOUBLE) AS hit_balance
         FROM k JOIN e ON e.collateral_id = k.collateral_id GROUP BY 1"""),

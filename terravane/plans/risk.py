@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terravane.functions import columns as C
 from terravane.operators import reporting, risk
 from terravane.sources.adapter import CITIES, oracle, views
+from terravane.sources.shared import stored
 
 VERSION = "v1"
 _CITY = "CASE " + " ".join(f"WHEN contains(property_addr, '{n}') THEN '{c}'" for n, c in CITIES.items()) + " END"
@@ -108,9 +109,9 @@ def g11_report(spark, sf_dir):
 
 
 def g11_reconcile(spark, sf_dir):
-    detail = risk.class_summary(enriched(spark, sf_dir))
-    stored = detail.withColumns({"loan_count": F.col("loan_count") + F.when(F.col("class_rank") == 3, 1).otherwise(0), "balance": F.col("balance") + F.when(F.col("class_rank") == 1, 0.01).when(F.col("class_rank") == 2, 5.0).otherwise(0.0)})
-    return reporting.reconcile(stored, stored, detail)
+    detail = stored(risk.class_summary(enriched(spark, sf_dir)), "detail_sums")
+    kept = detail.withColumns({"loan_count": F.col("loan_count") + F.when(F.col("class_rank") == 3, 1).otherwise(0), "balance": F.col("balance") + F.when(F.col("class_rank") == 1, 0.01).when(F.col("class_rank") == 2, 5.0).otherwise(0.0)})
+    return reporting.reconcile(kept, kept, detail)
 
 
 def class_state(spark, sf_dir):

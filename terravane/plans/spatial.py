@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
 from terravane.operators import spatial
-from terravane.sources.adapter import oracle, views
+from terravane.sources.adapter import oracle, view, views
 
 # fixed values: the cities' centres (longitude, latitude)
 CENTRES = {
@@ -23,7 +23,9 @@ def price_zones(spark, sf_dir):
 
 
 def ltv_zones(spark, sf_dir):
-    return spatial.ltv_zones(spatial.collateral_ltv(*views(spark, sf_dir, "loan", "collateral")))
+    """Zones of a fifth of a degree, for loans small enough that some zones are under the line."""
+    loans, collateral = views(spark, sf_dir, "loan", "collateral")
+    return spatial.ltv_zones(spatial.collateral_ltv(loans.withColumn("balance", F.col("balance") / 8), collateral), side=0.2, least=3)
 
 
 def neighbourhoods(spark, sf_dir):
@@ -56,6 +58,11 @@ def nearest(spark, sf_dir):
     return spatial.nearest(places, places, "place_id", 3, 3.0).select("place_id", "rank", "neighbour", F.round("km", 6).alias("km"))
 
 
+def neighbour_prices(spark, sf_dir):
+    places = view(spark, sf_dir, "place")
+    return spatial.neighbour_prices(places, places, "place_id", "unit_price", 6.0).withColumn("nearest_km", F.round("nearest_km", 6))
+
+
 def datum_shift(spark, sf_dir):
     (places,) = views(spark, sf_dir, "place")
     lat, lng = C.gcj_to_wgs(F.col("lat"), F.col("lng"))
@@ -70,6 +77,12 @@ _COMMUTE = f"""SELECT place_id, CASE WHEN km <= 60 THEN round(km / 30 * 60, 2) E
 _POI = f"""SELECT place_id, CASE WHEN n > 0 OR reach THEN n / (pi() * 4) END AS poi_density FROM (
   SELECT a AS place_id, count(*) FILTER (km <= 2 AND b % 9 = 0) AS n, bool_or(km <= 4 AND b % 9 = 0) AS reach FROM ({_PAIRS}) GROUP BY 1)"""
 
+
+
+def _waves(v: str, *terms) -> str:
+    return "(" + " + ".join(f"{a} * sin({v} * pi() * {w})" for a, w in terms) + ") * 2 / 3.0::DOUBLE"
+
+
 QUERIES = {
     "spatial_price_zones": (
         price_zones,
@@ -80,10 +93,10 @@ QUERIES = {
     ),
     "spatial_ltv_zones": (
         ltv_zones,
-        oracle("loan collateral", """SELECT printf('ltv-%.2f-%.2f', gx * 0.02::DOUBLE, gy * 0.02::DOUBLE) AS zone_id, round(gy * 0.02::DOUBLE + 0.01, 6) AS center_lat, round(gx * 0.02::DOUBLE + 0.01, 6) AS center_lng, samples,
+        oracle("loan collateral", """SELECT printf('ltv-%.2f-%.2f', gx * 0.2::DOUBLE, gy * 0.2::DOUBLE) AS zone_id, round(gy * 0.2::DOUBLE + 0.1, 6) AS center_lat, round(gx * 0.2::DOUBLE + 0.1, 6) AS center_lng, samples,
         round(m, 4) AS median_ltv, CAST(m > 0.85 AS INT) AS is_high_risk_zone FROM (
-        SELECT floor(lng / 0.02::DOUBLE) AS gx, floor(lat / 0.02::DOUBLE) AS gy, count(*) AS samples, median(owed / true_market_price) AS m
-        FROM collateral c JOIN (SELECT collateral_id, CAST(sum(CAST(balance AS DECIMAL(18,2))) AS DOUBLE) AS owed FROM loan GROUP BY 1) o ON o.collateral_id = c.collateral_id
+        SELECT floor(lng / 0.2::DOUBLE) AS gx, floor(lat / 0.2::DOUBLE) AS gy, count(*) AS samples, median(owed / true_market_price) AS m
+        FROM collateral c JOIN (SELECT collateral_id, CAST(sum(CAST(balance / 8 AS DECIMAL(18,2))) AS DOUBLE) AS owed FROM loan GROUP BY 1) o ON o.collateral_id = c.collateral_id
         WHERE true_market_price > 0 GROUP BY 1, 2 HAVING count(*) >= 3)"""),
     ),
     "spatial_neighbourhood": (
@@ -105,5 +118,16 @@ QUERIES = {
         oracle("place", f"""SELECT a AS place_id, CAST(rn AS INT) AS rank, b AS neighbour, round(km, 6) AS km
         FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(km, 9), b) AS rn FROM ({_PAIRS}) WHERE a <> b) WHERE rn <= 3"""),
     ),
-    "spatial_datum": (datum_shift, None),
+    "spatial_datum": (
+        datum_shift,
+        oracle("place", f"""WITH o AS (SELECT place_id, lat, lng, lng - 105 AS x, lat - 35 AS y, radians(lat) AS rad FROM place), w AS (SELECT *, {_waves("x", (20, 6), (20, 2))} AS common, 1 - 0.00669342162296594323::DOUBLE * pow(sin(rad), 2) AS curve FROM o),
+        d AS (SELECT *, -100 + 2 * x + 3 * y + 0.2::DOUBLE * y * y + 0.1::DOUBLE * x * y + 0.2::DOUBLE * sqrt(abs(x)) + common + {_waves("y", (20, 1), (40, "(1 / 3.0::DOUBLE)"))} + {_waves("y", (160, "(1 / 12.0::DOUBLE)"), (320, "(1 / 30.0::DOUBLE)"))} AS dlat,
+          300 + x + 2 * y + 0.1::DOUBLE * x * x + 0.1::DOUBLE * x * y + 0.1::DOUBLE * sqrt(abs(x)) + common + {_waves("x", (20, 1), (40, "(1 / 3.0::DOUBLE)"))} + {_waves("x", (150, "(1 / 12.0::DOUBLE)"), (300, "(1 / 30.0::DOUBLE)"))} AS dlng FROM w)
+        SELECT place_id, round(lat - dlat * 180 / (6378245.0::DOUBLE * (1 - 0.00669342162296594323::DOUBLE) / (curve * sqrt(curve)) * pi()), 5) AS lat, round(lng - dlng * 180 / (6378245.0::DOUBLE / sqrt(curve) * cos(rad) * pi()), 5) AS lng FROM d"""),
+    ),
+    "spatial_neighbour_prices": (
+        neighbour_prices,
+        oracle("place", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(km, 9), b) AS rn FROM ({_PAIRS}) WHERE a <> b)
+        SELECT a AS place_id, round(min(km), 6) AS nearest_km, {", ".join(f"median(price) FILTER (rn <= {k}) AS median_{k}" for k in (3, 8, 20, 50))} FROM r GROUP BY 1"""),
+    ),
 }

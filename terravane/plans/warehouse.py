@@ -55,11 +55,9 @@ def building_age(spark, sf_dir):
 
 
 def first_of_dwelling(spark, sf_dir):
-    """Listings of one dwelling count once; rows without a community always stay."""
-    keys = ["city", "community", "bedrooms", "halls", "bathrooms", "area", "floor", "unit_price"]
-    rows = _latest(spark, sf_dir).select("url_key", *keys)
-    full = rows.where("community is not null")
-    return one_of_each(full, keys, [F.col("url_key")]).unionByName(rows.where("community is null")).select("url_key")
+    """Listings of one dwelling count once; some listings lack an area or a price."""
+    rows = _latest(spark, sf_dir).withColumns({"area": F.when(F.col("etl_no") % 23 != 0, F.col("area")), "unit_price": F.when(F.col("etl_no") % 29 != 0, F.col("unit_price"))})
+    return warehouse.one_of_each_dwelling(rows, [F.col("url_key")]).select("url_key")
 
 
 def cleaned_rows(spark, sf_dir):
@@ -134,8 +132,8 @@ QUERIES = {
     "warehouse_building_age": (building_age, oracle("listing", f"SELECT url_key, CAST(coalesce(age, year(first_seen) - building_year) AS INT) AS age FROM ({LATEST})")),
     "warehouse_dwellings": (
         first_of_dwelling,
-        oracle("listing", f"""WITH r AS ({LATEST}) SELECT min(url_key) AS url_key FROM r WHERE community IS NOT NULL GROUP BY city, community, bedrooms, halls, bathrooms, area, floor, unit_price
-        UNION ALL SELECT url_key FROM r WHERE community IS NULL"""),
+        oracle("listing", f"""WITH r AS (SELECT * FROM ({LATEST})), f AS (SELECT * FROM r WHERE community IS NOT NULL AND etl_no % 23 <> 0 AND etl_no % 29 <> 0) SELECT min(url_key) AS url_key FROM f GROUP BY city, community, bedrooms, halls, bathrooms, area, floor, unit_price
+        UNION ALL SELECT url_key FROM r WHERE community IS NULL OR etl_no % 23 = 0 OR etl_no % 29 = 0"""),
     ),
     "warehouse_cleaned": (
         cleaned_rows,
