@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from terravane.functions import columns as C
 
 
+def front_page(alerts: DataFrame, collateral: DataFrame, versions: DataFrame, states: DataFrame, today: Column) -> DataFrame:
+    """One row: days since the newest alert, share of addresses that can be read, newest model version, and alerts, those confirmed or further, and those disposed."""
+    age = alerts.agg(F.datediff(today, F.max("alert_date")).cast("long").alias("age_days"))
+    parsed = collateral.agg(F.round(F.avg(C.district(F.trim("property_addr")).isNotNull().cast("double")), 4).alias("parsed"))
+    newest = versions.agg(F.max_by("version", F.struct("trained_at", "version")).alias("version"))
+    funnel = states.agg(F.count("*").alias("alerts"), F.count_if(F.col("status").isin("confirmed", "disposed")).alias("confirmed"), F.count_if(F.col("status") == "disposed").alias("disposed"))
+    return age.crossJoin(parsed).crossJoin(newest).crossJoin(funnel)
+
+
 def bucket(col: Column, bounds: list[float]) -> Column:
     """Number of the half-open bucket [lo, hi) that a value is in; the last one is open."""
     out = F.when(col.isNull(), None)

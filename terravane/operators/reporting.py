@@ -30,6 +30,11 @@ def report(detail: DataFrame) -> DataFrame:
     return summed.select(F.inline(F.when(F.col("class_rank") == 0, F.array(own, total)).otherwise(F.array(own))))
 
 
+def rebuilt(stored: DataFrame, detail: DataFrame, day: str) -> DataFrame:
+    """The stored report with the day's rows made anew from the detail; other days stay."""
+    return stored.where(F.col("stat_date") != day).unionByName(detail.withColumn("stat_date", F.lit(day)), allowMissingColumns=True)
+
+
 def reconcile(template: DataFrame, internal: DataFrame, detail: DataFrame) -> DataFrame:
     """One row for each failed check between the report, the stored summary and the detail's own sums."""
     three = None

@@ -75,6 +75,25 @@ def overlay_features(collateral: DataFrame, features: DataFrame, zones: DataFram
     ).drop("_missing", "_known", "_flag", "zone_id")
 
 
+def scaled_missing(collateral: DataFrame) -> DataFrame:
+    """Missing shares in percent: a share of 1 or less was stored as a part of one."""
+    m = F.col("missing_pct")
+    return collateral.withColumn("missing_pct", F.when(m <= 1, m * 100).otherwise(m))
+
+
+def with_customers(loans: DataFrame, customers: DataFrame) -> DataFrame:
+    """Loans with their customers' credit score, income and debt ratio, null where a customer is not known."""
+    return loans.join(customers.select("customer_id", "credit_score", "income", "debt_ratio"), "customer_id", "left")
+
+
+def latest_build(features: DataFrame | None, spark: SparkSession | None = None) -> DataFrame:
+    """Rows of the newest build of each kind of entity; a table that is not there counts as empty."""
+    if features is None:
+        return spark.createDataFrame([], "entity_type string, entity_id long, build_date int")
+    newest = features.groupBy("entity_type").agg(F.max("build_date").alias("build_date"))
+    return features.join(newest, ["entity_type", "build_date"], "left_semi")
+
+
 def spine(spark: SparkSession) -> DataFrame:
     """The five classes and their ranks."""
     return spark.createDataFrame([(c, i) for i, c in enumerate(C.CLASSES)], "risk_class string, class_rank int")

@@ -82,6 +82,24 @@ def neighbour_prices(queries: DataFrame, points: DataFrame, key: str, value: str
     return found.groupBy(key).agg(F.min("km").alias("nearest_km"), *[F.median(F.when(F.col("rank") <= k, F.col("_v"))).alias(f"median_{k}") for k in ks])
 
 
+# fixed values: the bounds of the spatial build (latitude from, to, longitude from, to)
+BOUNDS = (20.0, 26.0, 108.0, 118.0)
+
+
+def placed_listings(listings: DataFrame) -> DataFrame:
+    """Listings with a place in the bounds, a price and a city; all of it reaches the scan as filters."""
+    return listings.where(F.col("lat").between(BOUNDS[0], BOUNDS[1]) & F.col("lng").between(BOUNDS[2], BOUNDS[3]) & (F.col("unit_price") > 0) & (F.col("city") != ""))
+
+
+def build_report(**tables: DataFrame) -> DataFrame:
+    """Rows of each table of a build."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def price_zones(points: DataFrame, side: float = GRID, least: int = LEAST_PRICES) -> DataFrame:
     """Cells of a city with enough listings: median price, centre, deviation from the city, and whether it is low."""
     cities = points.groupBy("city").agg(F.median("unit_price").alias("city_median"))

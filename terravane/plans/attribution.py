@@ -17,7 +17,7 @@ EXCLUDED = ("gz", "zs")
 def _parts(spark, sf_dir):
     collateral, avm, places = views(spark, sf_dir, "collateral", "avm", "place")
     cities = places.groupBy("city").agg(F.median("unit_price").alias("city_price"))
-    rows = collateral.join(avm, "collateral_id").join(cities, "city").withColumnsRenamed({"avm_value": "estimate", "true_market_price": "book"})
+    rows = collateral.join(avm, "collateral_id").join(cities, "city").withColumn("estimate", F.col("avm_value") * 1.003).withColumnRenamed("true_market_price", "book")
     rows = dashboard.deviation_parts(rows)
     tier = F.when(F.col("collateral_id") % 2 == 0, "dwd").otherwise("avm")
     return rows.select("collateral_id", "city", "estimate", "book", "area", "city_price", "a1", "a2", "b", "signed", tier.alias("tier"), F.concat(F.lit("v"), (F.col("collateral_id") % 3).cast("string")).alias("model_version"))
@@ -169,7 +169,7 @@ def prototype_consistency(spark, sf_dir):
 
 
 _KM = f"sqrt(pow((a.lng - b.lng) * {C.KM_LNG!r}::DOUBLE, 2) + pow((a.lat - b.lat) * 110.57::DOUBLE, 2))"
-_P = """(WITH m AS (SELECT city, median(unit_price) AS city_price FROM place GROUP BY 1), k AS (SELECT c.*, avm_value AS estimate, true_market_price AS book, city_price FROM collateral c JOIN avm a ON a.collateral_id = c.collateral_id JOIN m ON m.city = c.city WHERE avm_value > 0 AND true_market_price > 0),
+_P = """(WITH m AS (SELECT city, median(unit_price) AS city_price FROM place GROUP BY 1), k AS (SELECT c.*, avm_value * 1.003::DOUBLE AS estimate, true_market_price AS book, city_price FROM collateral c JOIN avm a ON a.collateral_id = c.collateral_id JOIN m ON m.city = c.city WHERE avm_value > 0 AND true_market_price > 0),
   l AS (SELECT *, ln(estimate / (city_price * area)) AS a, -ln(book / (city_price * area)) AS b FROM k), t AS (SELECT city, median(a) AS a1 FROM l GROUP BY 1)
   SELECT l.*, t.a1, l.a - t.a1 AS a2, estimate / book - 1 AS signed FROM l JOIN t ON t.city = l.city)"""
 _OFF = lambda x: f"(abs(exp({x}) - 1) > 0.3)"

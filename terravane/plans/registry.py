@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("risk", "warehouse", "spatial", "dashboard", "changes", "valuation", "cleaning", "models", "ledger", "attribution", "files")
+MODULES = ("risk", "warehouse", "spatial", "dashboard", "changes", "valuation", "cleaning", "models", "ledger", "attribution", "files", "daily")
 ALL: dict[str, tuple] = {}
 for _name in MODULES:
     ALL |= importlib.import_module(f"terravane.plans.{_name}").QUERIES
