@@ -19,8 +19,8 @@ def _cell(col: Column, side: float) -> Column:
 
 
 def _projected(points: DataFrame, side: float) -> DataFrame:
-    out = points.withColumns({"_x": C.east_km(F.col("lng")), "_y": C.north_km(F.col("lat"))})
-    return out.withColumns({"_cx": _cell(F.col("_x"), side), "_cy": _cell(F.col("_y"), side)})
+    out = points.withColumns({"_east_km": C.east_km(F.col("lng")), "_north_km": C.north_km(F.col("lat"))})
+    return out.withColumns({"_cx": _cell(F.col("_east_km"), side), "_cy": _cell(F.col("_north_km"), side)})
 
 
 def within(queries: DataFrame, points: DataFrame, radius_km: float) -> DataFrame:
@@ -32,11 +32,11 @@ def within(queries: DataFrame, points: DataFrame, radius_km: float) -> DataFrame
     q, p = _projected(queries, radius_km), _projected(points, radius_km)
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     q = q.withColumn("_d", F.explode(around)).withColumns({"_cx": F.col("_cx") + F.col("_d.dx"), "_cy": F.col("_cy") + F.col("_d.dy")}).drop("_d")
-    q = q.select("_cx", "_cy", *[F.col(c).alias(f"q{c}" if c.startswith("_") else f"q_{c}") for c in [*queries.columns, "_x", "_y"]])
-    p = p.select("_cx", "_cy", *[F.col(c).alias(f"p{c}" if c.startswith("_") else f"p_{c}") for c in [*points.columns, "_x", "_y"]])
-    dx, dy = F.col("q_x") - F.col("p_x"), F.col("q_y") - F.col("p_y")
+    q = q.select("_cx", "_cy", *[F.col(c).alias(f"q{c}" if c.startswith("_") else f"q_{c}") for c in [*queries.columns, "_east_km", "_north_km"]])
+    p = p.select("_cx", "_cy", *[F.col(c).alias(f"p{c}" if c.startswith("_") else f"p_{c}") for c in [*points.columns, "_east_km", "_north_km"]])
+    dx, dy = F.col("q_east_km") - F.col("p_east_km"), F.col("q_north_km") - F.col("p_north_km")
     near = q.join(p, ["_cx", "_cy"]).withColumn("km", F.sqrt(dx * dx + dy * dy)).where(F.col("km") <= radius_km)
-    return near.drop("_cx", "_cy", "q_x", "q_y", "p_x", "p_y")
+    return near.drop("_cx", "_cy", "q_east_km", "q_north_km", "p_east_km", "p_north_km")
 
 
 def neighbourhood_median(queries: DataFrame, points: DataFrame, key: str, value: str, radius_km: float = 5.0, least: int = 5, other_than_self: bool = True) -> DataFrame:
