@@ -144,8 +144,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The next document is that of the next larger id, after the last the first;
     rows that share an id follow each other by text. Null texts count as empty.
     A row with a null id has no place in the order: it has no next document,
-    and nothing replaces its last quarter. Other columns are ignored; an empty
-    table gives an empty result.
+    and nothing replaces its last quarter. Very long texts are fingerprinted
+    whole, two at a time. Other columns are ignored; an empty table gives an
+    empty result.
 
     Ids are cut into ranges by approximate quantiles. A range gets its own rows
     and the first row of the next range, so texts are shuffled once and each

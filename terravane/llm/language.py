@@ -181,8 +181,9 @@ def identify(docs: DataFrame) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0, and so is
     everything if no language can be learned. Rows with a null lang are judged
     but not learned from; rows held out (crc32 of the id modulo 3 is 1) are not
-    learned from. Repeated rows and null ids are returned as they come; other
-    columns are ignored; an empty table gives an empty result. Texts are judged
+    learned from. Repeated rows and null ids are returned as they come; a very
+    long text is judged whole, in slices; of languages with equal probabilities
+    the first by name is given; other columns are ignored; an empty table gives an empty result. Texts are judged
     where they are read, without a shuffle; the network is about 40 kB.
     """
     spark = docs.sparkSession

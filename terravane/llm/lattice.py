@@ -172,9 +172,10 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and vectors of different lengths, are linked with nothing. Repeated rows
-    are links of each other. A null id is a component's id only if all ids in
-    it are null. Other columns are ignored; an empty table gives an empty
-    result.
+    are links of each other, with the same id or not. A cosine of just 0.9 is a
+    link. A null id is a component's id only if all ids in it are null. Vectors
+    of any length are compared whole. Other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     scratch = Scratch(embeddings.sparkSession)
     rows = embeddings.select("vec_id", "embedding")

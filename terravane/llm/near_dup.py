@@ -168,8 +168,11 @@ def _placed(docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     placed = scratch.keep(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     open_nodes = placed.join(mixed, "key", "left_semi").select("node", "n", "component").distinct()
-    more = scratch.keep(_confirm(_prefix_pairs(scratch, open_nodes, sets, percent), sets, percent), "more")
+    pairs = scratch.keep(_prefix_pairs(scratch, open_nodes, sets, percent), "pairs")
+    more = scratch.keep(_confirm(pairs, sets, percent), "more")
+    scratch.drop(pairs)
     merged = connected_components(links.union(more), scratch).withColumnRenamed("id", "node")
+    scratch.drop(shared, sets, links, placed, more)
     members = nodes.select("node", "doc_id").join(merged, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = members.join(least, "component").select(F.col("node").alias("_node"), "component", "component_id")

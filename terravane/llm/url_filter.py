@@ -106,7 +106,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and llr for each row of ``pages`` (page_id, url).
 
     A null url has an empty host and path and, like an empty one, a score of 0;
-    repeated rows are each returned; if the rules judge no url of one class the
+    repeated rows are each returned; a very long url is scored whole; if the rules judge no url of one class the
     threshold is 0; other columns are ignored; an empty table gives an empty
     result. The threshold falls on the allowed side: a score equal to it is
     allowed.

@@ -133,6 +133,26 @@ def test_lattice_recall(spark, seed):
     assert lattice.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_lattice_of_odd_rows(spark):
+    v, w = [1.0, 2.0, 3.0, 4.0], [-4.0, 3.0, -2.0, 1.0]
+    edge = [1.0, 0.001, 0.0, 0.0]
+    rows = [(5, v), (5, v), (None, v), (3, [2 * x for x in v]), (7, w), (7, [1.0, 0.0, 0.0, 0.0]), (9, edge), (None, w[:3]), (11, None), (None, None)]
+    names = ("cls", "key", "leader", "component", "a", "b", "n", "m", "vec", "keys", "home", "cosine", "c")
+    frame = spark.createDataFrame([(*r, *["?"] * len(names)) for r in rows], f"vec_id long, embedding array<double>, {', '.join(f'{n} string' for n in names)}")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in lattice.near_duplicates(frame).collect())
+    want = [("5", 3, "3", False), ("5", 3, "3", False), ("None", 3, "3", False), ("3", 3, "3", True), ("7", 0, "7", True), ("7", 1, "7", True), ("9", 1, "7", False), ("None", 0, "None", True), ("11", 0, "11", True), ("None", 0, "None", True)]
+    assert got == sorted(want)
+
+
+def test_quality_of_an_id_with_several_texts(spark, docs):
+    good = [(i, f"The house number {i} stands by the river and has a garden.") for i in range(0, 200, 2)]
+    junk = [(i, f"$$$ ### {i} @@@ !!! %%% ### {i} &&&") for i in range(1, 200, 2)]
+    twice = [(i, t) for i, _ in good[:30] for t in ("x", "y z")]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
+    runs = [sorted((r.doc_id, r.score) for r in quality.score(docs(rows).repartition(n), labels).collect()) for n, rows in ((1, good + junk + twice), (5, twice + junk + good))]
+    assert runs[0] == runs[1]
+
+
 def test_lattice_recall_on_the_given_table(spark):
     frame = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in frame.collect()]

@@ -57,6 +57,12 @@ def test_nulls_empty_and_repeated(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_very_long_text_counts_whole(spark):
+    rows = [(1, "w " * 700_000, "a", None), (2, "w", "a", None), (3, "w w", "b", None)]
+    got = {r.doc_id: (r["size"], r.source_size, r.target) for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1][:2] == (700_000, 700_001) and got[3][:2] == (2, 2) and got[3][2] == 4.0
+
+
 def test_repeat_rows_keeps_columns_and_targets(spark):
     rows = [(i, "w " * 20, "a" if i % 4 else "b", str(i)) for i in range(400)]
     docs = spark.createDataFrame(rows, SCHEMA)
