@@ -140,7 +140,7 @@ def suggestions(spark, sf_dir):
 
 def community_features(spark, sf_dir):
     places = view(spark, sf_dir, "place").withColumn("community", F.concat(F.lit("c"), (F.col("place_id") % 97).cast("string")))
-    return pages.community_features(places, "place_id")
+    return pages.community_features(places, "place_id").withColumns({c: F.round(c, 6) for c in ("lat", "lng")})
 
 
 def collateral_features(spark, sf_dir):
@@ -249,7 +249,7 @@ QUERIES = {
         community_features,
         oracle("place", f"""WITH p AS (SELECT *, 'c' || CAST(place_id % 97 AS VARCHAR) AS community FROM place), a AS (SELECT city, community, median(lat) AS lat, median(lng) AS lng, median(unit_price) AS price FROM p GROUP BY 1, 2),
         n AS (SELECT a.city, a.community, count(*) AS k, median(b.unit_price) AS m FROM a JOIN p b ON {_KM} <= 5 AND (b.city <> a.city OR b.community <> a.community) GROUP BY 1, 2)
-        SELECT a.city || '|' || a.community AS entity_id, a.city AS district, lat, lng, CASE WHEN k >= 5 THEN round((price - m) / m, 4) END AS price_deviation FROM a LEFT JOIN n ON n.city = a.city AND n.community = a.community"""),
+        SELECT a.city || '|' || a.community AS entity_id, a.city AS district, round(lat, 6) AS lat, round(lng, 6) AS lng, CASE WHEN k >= 5 THEN round((price - m) / m, 4) END AS price_deviation FROM a LEFT JOIN n ON n.city = a.city AND n.community = a.community"""),
     ),
     "spatial_collateral_features": (
         collateral_features,
