@@ -9,7 +9,8 @@ the other's cells, and linked if their cosine is 0.9 or more.
 
 Exact copies count as one vector. A large bucket first elects a centre, and
 vectors within 12.9 degrees of it form a core: any two of them are within 25.8
-degrees, so all are linked and no pair has to be looked at. What is left is
+degrees, so all are linked and no pair has to be looked at. What is alone in a
+bucket that is still large elects again, ``ROUNDS`` times at most. What is left is
 compared between cores: two lone vectors by their cosine, larger cores, if their
 centres are near enough for any link, member by member in tiles.
 """
@@ -32,8 +33,8 @@ TABLES, BLOCKS, PROBES, SCALE = 16, 2, 2, 0.55
 LINK, CORE = 0.9, 0.9748
 #: Cosine of two centres below which no members of their cores can be linked: 25.85 + 2 * 12.9 degrees.
 APART = 0.62
-#: Bucket size from which a centre is elected, and vectors in a tile.
-CORE_BUCKET, TILE = 16, 512
+#: Bucket size from which a centre is elected, rounds of elections, and vectors in a tile.
+CORE_BUCKET, ROUNDS, TILE = 16, 3, 512
 
 
 def _roots() -> np.ndarray:
@@ -89,7 +90,7 @@ def cells(unit: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes:
 
 
 def _coded(batches):
-    """Class (hash of the bytes; null if not to be linked), bytes and cell keys of each vector."""
+    """Class (128 bits of the bytes; null if not to be linked), bytes and cell keys of each vector."""
     for batch in batches:
         column = batch.column(1)
         kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
@@ -109,9 +110,9 @@ def _coded(batches):
             found = cells(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
             for i, k in zip(at, found, strict=True):
                 raw[i] = rows[i].tobytes()
-                cls[i] = int.from_bytes(hashlib.blake2b(raw[i], digest_size=8).digest(), "big", signed=True)
+                cls[i] = hashlib.blake2b(raw[i], digest_size=16).digest()
                 keys[i] = k
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "cls", "vec", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "cls", "vec", "keys"])
 
 
 def _cosines(a: list[bytes], b: list[bytes], kind) -> np.ndarray:
@@ -162,7 +163,8 @@ def _tiles(kind: str):
                         weight += sums.tolist()
                     a_out += [a] * (len(left) + len(right))
                     b_out += [b] * (len(left) + len(right))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (cls, weight, a_out, b_out)], names=["cls", "weight", "a", "b"])
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((cls, weight, a_out, b_out), kinds, strict=True)], names=["cls", "weight", "a", "b"])
 
     return run
 
@@ -180,7 +182,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     scratch = Scratch(embeddings.sparkSession)
     rows = embeddings.select("vec_id", "embedding")
     kind = "<f4" if rows.schema["embedding"].dataType == T.ArrayType(T.FloatType(), rows.schema["embedding"].dataType.containsNull) else "<f8"
-    coded = scratch.keep(rows.mapInArrow(_coded, "vec_id long, cls long, vec binary, keys array<long>"), "coded")
+    coded = scratch.keep(rows.mapInArrow(_coded, "vec_id long, cls binary, vec binary, keys array<long>"), "coded")
     classes = coded.where("cls is not null").groupBy("cls").agg(F.count("*").alias("m"), F.min("vec_id").alias("vec_id"), F.first("vec").alias("vec"), F.first("keys").alias("keys"))
     classes = scratch.keep(classes, "classes")
     spread = classes.select("cls", F.posexplode("keys").alias("pos", "key")).select("cls", "key", (F.col("pos") % (1 + BLOCKS * PROBES) == 0).alias("home"))
@@ -188,6 +190,18 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     counts = spread.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("any_home")).where("c > 1 and any_home").select("key", "c")
     shared = scratch.keep(spread.join(counts, "key"), "shared")
     cores = scratch.keep(_cores(classes, shared, kind), "cores")
+    for _ in range(ROUNDS - 1):
+        # what is alone in a bucket that is still large elects centres of its own
+        lone = cores.where("leader = cls").join(cores.where("leader <> cls").select(F.col("leader").alias("cls")), "cls", "left_anti").select("cls")
+        rest = shared.drop("c").join(lone, "cls", "left_semi")
+        sizes = rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= CORE_BUCKET)
+        rest = scratch.keep(rest.join(sizes, "key"), "rest")
+        if not rest.limit(1).count():
+            break
+        found = _cores(classes.join(lone, "cls", "left_semi"), rest, kind)
+        old = cores
+        cores = scratch.keep(cores.join(lone, "cls", "left_anti").unionByName(found), "cores")
+        scratch.drop(old, rest)
     sizes = cores.groupBy("leader").agg(F.count("*").alias("n"), F.sum("m").alias("weight"))
     sizes = scratch.keep(sizes, "sizes")
     held = shared.join(cores.select("cls", "leader"), "cls").groupBy("key", "leader").agg(F.max("home").alias("home"))
@@ -235,4 +249,4 @@ def _tile_links(cores: DataFrame, classes: DataFrame, near: DataFrame, sizes: Da
     blocks = members.groupBy("leader", "block").agg(F.collect_list(F.struct("cls", "m", "vec")).alias("members"))
     left, right = (blocks.select(F.col("leader").alias(x), F.col("members").alias(f"m_{x}")) for x in "ab")
     tiles = near.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "m_a", "m_b")
-    return tiles.mapInArrow(_tiles(kind), "cls long, weight long, a long, b long")
+    return tiles.mapInArrow(_tiles(kind), "cls binary, weight long, a binary, b binary")
