@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from terravane.llm.common import WORD, Scratch, crc_mod
 from terravane.llm.near_dup import pick, text_hash
 
-#: Most labelled rows that the model is fitted on, those with the smallest hashes of their ids.
+#: Most labelled rows that the model is fitted on, those with the smallest lots, drawn by a hash of their ids.
 TRAIN_ROWS = 10_000
 TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
 #: Weight of the lasso penalty per training row.
@@ -153,7 +153,10 @@ def _scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     known = labels.where("quality is not null").where(~held).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     # of several texts of an id the one with the smallest hash, so that reruns agree
     one = table.where("not held_out").groupBy("doc_id").agg(F.min_by(F.struct(*names), "th").alias("row")).select("doc_id", "row.*")
-    sample = one.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    labelled = one.join(known, "doc_id").withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007)) / 1_000_000_007)
+    # lots are drawn first, so that tasks send the driver about as many rows together as the sample has
+    share = (2 * TRAIN_ROWS + 40) / max(1, labelled.count())
+    sample = labelled.where(F.col("lot") < share).orderBy("lot", "doc_id").limit(TRAIN_ROWS)
     rows = sample.select("y", *names).toPandas().to_numpy(dtype=float)
     model = RuleModel(names, rows[:, 1:], rows[:, 0])
     scored = table.select("doc_id", "th", "held_out", F.round(model.expression(), 9).alias("score"))
