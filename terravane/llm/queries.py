@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terravane.llm import bpe, fingerprint, language, lattice, mixing, near_dup, ppm, quality, suffix_dedup, url_filter
+from terravane.llm import bpe, filter_audit, fingerprint, language, lattice, mixing, near_dup, ppm, quality, site_tree, suffix_dedup, url_filter, whitening
 from terravane.llm.common import table
 
 
@@ -58,7 +58,22 @@ def op10_byte_cnn(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_source_mix, op2_lattice, op3_url_filter, op4_suffix_index, op5_rule_ensemble, op6_minhash, op7_ppm, op8_winnowing, op9_bpe, op10_byte_cnn)
+def op11_filter_audit(spark, sf_dir):
+    """What five filters remove in each order, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark, sf_dir):
+    """Whitened components of all usable embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_site_tree(spark, sf_dir):
+    """Main text of every page."""
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = (op1_source_mix, op2_lattice, op3_url_filter, op4_suffix_index, op5_rule_ensemble, op6_minhash, op7_ppm, op8_winnowing, op9_bpe, op10_byte_cnn, op11_filter_audit, op12_whitening, op13_site_tree)
 
 
 def queries():
@@ -66,4 +81,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_source_mix": mixing.ORACLE}
+    return {"op1_source_mix": mixing.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
