@@ -45,7 +45,7 @@ THRESHOLD = 0.25
 MIN_PAGES = 3
 #: Elements further down count as their ancestor at this depth.
 MAX_DEPTH = 48
-#: Most removed branches that are broadcast (8 bytes each and their hosts' names).
+#: Most removed branches that are broadcast (16 bytes each at most).
 BROADCAST_BRANCHES = 200_000
 
 # Fixed names of the markup language.
@@ -282,77 +282,74 @@ class Page:
         return out
 
 
+#: What a row of counts is about; the numbers only tell them apart.
+_WORD, _LAYOUT, _TOLD, _ABOVE, _TOP, _SITE = range(6)
+
+
 def _measure(batches):
-    """A row for each page and element in its root: key, keys above, layout, words and their numbers."""
+    """For each page and element in its root: its words with their numbers, its layout, the elements above it, its site."""
     for b in batches:
-        nodes, above, ends, layouts, sites = [], [], [0], [], []
-        words, counts, stops, sums = [], [], [0], []
-        for site, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        nodes, kinds, values, counts = [], [], [], []
+        for site, of, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             page = Page(html)
             for key, (chain, children, texts) in page.layout(page.keys(site)).items():
                 found = Counter(" ".join(texts).lower().split())
-                nodes.append(key)
-                sites.append(site)
-                above += chain
-                ends.append(len(above))
-                layouts.append(zlib.crc32(" ".join(children).encode("utf-8", "surrogatepass")))
-                words += [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found]
+                other = [(_LAYOUT, zlib.crc32(" ".join(children).encode("utf-8", "surrogatepass"))), (_TOP, chain[0]), (_SITE, of), *((_ABOVE, c) for c in chain)]
+                other += [(_TOLD, 0)] if found else []
+                n = len(found) + len(other)
+                nodes += [key] * n
+                kinds += [_WORD] * len(found)
+                kinds += [k for k, _ in other]
+                values += [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found]
+                values += [v for _, v in other]
                 counts += found.values()
-                stops.append(len(words))
-                sums.append(sum(found.values()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(sites, pa.string()),
-                pa.array(nodes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(above, pa.int64())),
-                pa.array(layouts, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(words, pa.int64())),
-                pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(counts, pa.int32())),
-                pa.array(sums, pa.int64()),
-            ],
-            names=["site", "node", "above", "layout", "words", "counts", "n_words"],
-        )
-
-
-_MEASURED = "site string, node long, above array<long>, layout long, words array<long>, counts array<int>, n_words long"
+                counts += [1] * len(other)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kinds, pa.int8()), pa.array(values, pa.int64()), pa.array(counts, pa.int32())], names=["node", "kind", "value", "tf"])
 
 
 def _pages(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host(F.col("url")).alias("site"))
+    site = host(F.col("url"))
+    return pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), site.alias("site"), F.xxhash64(site).alias("of"))
 
 
 def importances(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """site, node, above, n_words and importance of each element of the hosts' style trees."""
-    seen = _pages(pages).where("site <> ''").select("site", "html").mapInArrow(tidied(_measure), _MEASURED)
-    layouts = seen.groupBy("node", "layout").agg(
-        F.count("*").alias("c"), F.count_if(F.col("n_words") > 0).alias("told"), F.sum("n_words").alias("n_words"), F.any_value("above").alias("above"), F.any_value("site").alias("site")
-    )
-    layouts = layouts.groupBy("node").agg(
-        F.sum("c").alias("m"),
-        F.sum(F.col("c") * F.log("c")).alias("clc"),
-        F.sum("told").alias("told"),
-        F.sum("n_words").alias("n_words"),
-        F.any_value("above").alias("above"),
-        F.any_value("site").alias("site"),
+    """node, of (its site's hash), top (its root's key), above (keys from there to itself), n_words and importance of each element of the style trees.
+
+    Words and layouts are counted by 32-bit hashes: they are statistics. Keys
+    of elements have 64 bits and are used within one site only.
+    """
+    seen = _pages(pages).where("site <> ''").select("site", "of", "html").mapInArrow(tidied(_measure), "node long, kind byte, value long, tf int")
+    each = seen.groupBy("node", "kind", "value").agg(F.sum("tf").alias("t"), F.sum(F.col("tf") * F.log("tf")).alias("l"))
+    named = F.when(F.col("kind") >= _ABOVE, F.col("value")).otherwise(0)
+    each = each.groupBy("node", "kind", named.alias("value")).agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.log("t")).alias("tlt"), F.sum("l").alias("l"))
+    each = scratch.keep(each, "counts")
+
+    def of(kind: int, c: str):
+        return F.max(F.when(F.col("kind") == kind, F.col(c)))
+
+    nodes = each.groupBy("node").agg(
+        of(_LAYOUT, "t").alias("m"),
+        of(_LAYOUT, "tlt").alias("layouts"),
+        F.coalesce(of(_TOLD, "t"), F.lit(0)).alias("told"),
+        F.coalesce(of(_WORD, "t"), F.lit(0)).alias("n_words"),
+        (of(_WORD, "tlt") - of(_WORD, "l")).alias("spread"),
+        of(_TOP, "value").alias("top"),
+        of(_SITE, "value").alias("of"),
+        F.collect_set(F.when(F.col("kind") == _ABOVE, F.col("value"))).alias("above"),
     )
-    word = seen.where("n_words > 0").select("node", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    word = word.select("node", F.col("w.words").alias("word"), F.col("w.counts").alias("tf"))
-    word = word.groupBy("node", "word").agg(F.sum("tf").alias("t"), F.sum(F.col("tf") * F.log("tf")).alias("l"))
-    spread = word.groupBy(F.col("node").alias("of")).agg(F.sum(F.col("t") * F.log("t") - F.col("l")).alias("spread"))
-    both = layouts.join(spread, F.col("node") == F.col("of"), "left")
-    presentation = 1 - F.col("clc") / (F.col("m") * F.log("m"))
+    presentation = 1 - F.col("layouts") / (F.col("m") * F.log("m"))
     content = F.when(F.col("told") >= 2, 1 - F.col("spread") / (F.col("n_words") * F.log("told"))).when(F.col("told") == 1, 1.0).otherwise(0.0)
     importance = F.when(F.col("m") < MIN_PAGES, 1.0).otherwise(F.greatest(presentation, content))
-    return scratch.keep(both.select("site", "node", "above", "n_words", importance.alias("importance")), "tree")
+    return scratch.keep(nodes.select("node", "of", "top", "above", "n_words", importance.alias("importance")), "tree")
 
 
 def noise_branches(tree: DataFrame) -> DataFrame:
-    """site and node of the branches of low importance: all in them, but neither a root nor most of one's words."""
-    branch = tree.select("site", F.explode("above").alias("branch"), F.element_at("above", 1).alias("top"), "n_words", "importance")
-    branch = branch.groupBy("branch", "top").agg(F.any_value("site").alias("site"), F.sum("n_words").alias("n_words"), F.max("importance").alias("importance"))
-    top = branch.where("branch = top").select(F.col("top").alias("of"), F.col("n_words").alias("all_words"), F.col("importance").alias("best"))
-    low = branch.where((F.col("importance") < THRESHOLD) & (F.col("branch") != F.col("top"))).join(top, F.col("top") == F.col("of"))
-    return low.where((F.col("best") >= THRESHOLD) & (F.col("n_words") * 2 < F.col("all_words"))).select("site", F.col("branch").alias("node"))
+    """of and node of the branches of low importance: all in them, but neither a root nor most of one's words."""
+    branch = tree.select("of", "top", F.explode("above").alias("node"), "n_words", "importance")
+    branch = branch.groupBy("of", "top", "node").agg(F.sum("n_words").alias("n_words"), F.max("importance").alias("importance"))
+    top = branch.where("node = top").select(F.col("top").alias("root"), F.col("n_words").alias("all_words"), F.col("importance").alias("best"))
+    low = branch.where((F.col("importance") < THRESHOLD) & (F.col("node") != F.col("top"))).join(top, F.col("top") == F.col("root"))
+    return low.where((F.col("best") >= THRESHOLD) & (F.col("n_words") * 2 < F.col("all_words"))).select("of", "node")
 
 
 def _extract(batches):
@@ -378,10 +375,10 @@ def extract(pages: DataFrame) -> DataFrame:
     ignored, whatever their names; an empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession)
-    noise = scratch.keep(noise_branches(importances(pages, scratch)).groupBy("site").agg(F.collect_set("node").alias("removed")), "noise")
-    noise = noise.withColumnRenamed("site", "of")
+    noise = noise_branches(importances(pages, scratch)).groupBy(F.col("of").alias("owner")).agg(F.collect_set("node").alias("removed"))
+    noise = scratch.keep(noise, "noise")
     size = noise.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
     few = F.broadcast(noise) if size <= BROADCAST_BRANCHES else noise
-    laid = _pages(pages).join(few, F.col("site") == F.col("of"), "left").select("page_id", "url", "site", "html", "removed")
+    laid = _pages(pages).join(few, F.col("of") == F.col("owner"), "left").select("page_id", "url", "site", "html", "removed")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}, text string, n_chars long"
     return laid.mapInArrow(tidied(_extract), schema)
