@@ -80,6 +80,7 @@ _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)(?P<end>>|\Z)|<[!?/](?P<bogus>[^>]*+)(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TELLING = re.compile(r"class|id|role|hidden|style|itemprop", re.I)
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
@@ -98,7 +99,7 @@ def _child_hash(parent: int, signature: str) -> int:
 
 def _described(name: str, attrs: str) -> tuple[str, bool, int]:
     """Signature of an element (digits count as one), whether its markup names it as noise, and what kind of root it is."""
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
+    if not attrs or not _TELLING.search(attrs):
         return name, name in _NOISE, _ARTICLE if name == "article" else _MAIN if name == "main" else _DOCUMENT
     given: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
