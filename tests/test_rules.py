@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravane.operators import attribution, cleaning, geocode, ledger, models, order, stages
-from terravane.sources import cards
 
 
 def one(spark, value, kind="string"):
@@ -109,12 +108,3 @@ def test_stages_keep_their_order():
     assert [s for s, *_ in stages.run({s: lambda: None for s in stages.ORDER}, only=("alert", "etl", "risk"))] == ["etl", "risk", "alert"]
     with pytest.raises(ValueError, match="unknown"):
         stages.run({}, only=("nothing",))
-
-
-def test_cards_of_odd_pages(spark):
-    html = '<div class="property"><h3>靓房</h3><a href="/about">x</a>联洋小区 95平米 2房 120 万 共9层 1999年</div><div class="property"><span>no title</span></div><div class="property"><h3>靓房</h3><a href="/about">x</a></div>'
-    rows = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id long, html string")
-    got = cards.sale_cards(rows, 2026).collect()
-    assert len(got) == 1
-    r = got[0]
-    assert (r.title, r.url, r.community, r.area, r.bedrooms, r.halls, r.total_price, r.unit_price, r.floor, r.age, r.parking) == ("靓房", "/about", "联洋小区", 95.0, 2, 0, 120.0, None, "共9层", 27, 0)
