@@ -27,6 +27,7 @@ from terravane.llm.common import limit_batches
 K, WINDOW = 20, 100
 #: Most ranges of ids; the driver holds one number for each.
 MAX_RANGES = 4096
+_BEFORE = 0x110000
 _ROUNDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 _S, _LOW, _HIGH = np.uint64(29), np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
 
@@ -57,11 +58,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Kept hashes (32 bits) and their positions, by position."""
+    """Kept hashes (32 bits) and the positions of their grams' last code points, by position.
+
+    Every code point ends a gram of k: before the text stand k - 1 of a code
+    that no text has. So texts of all lengths, short ones too, share the grams
+    of what they share.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     if not len(codes):
         return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    hashes = gram_hashes(codes, k if len(codes) >= 4 * k else max(1, len(codes) // 4))
+    hashes = gram_hashes(np.concatenate([np.full(k - 1, _BEFORE, dtype=np.uint32), codes]), k)
     window = max(min(4, window), min(window, len(hashes) // 8))
     # of equal hashes the rightmost is the smallest key
     keys = (hashes & _HIGH) | (_LOW - np.arange(len(hashes), dtype=np.uint64))

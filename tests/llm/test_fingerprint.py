@@ -10,9 +10,9 @@ def test_winnow_keeps_rightmost_minimum_of_each_window():
     rng = random.Random(1)
     for n in (1, 3, 10, 79, 80, 400, 5000):
         text = "".join(rng.choice("ab é") for _ in range(n))
-        codes = np.array([ord(c) for c in text])
-        k = fp.K if n >= 4 * fp.K else max(1, n // 4)
-        hashes = [int(fp.gram_hashes(codes[i : i + k], k)[0]) >> 32 for i in range(n - k + 1)]
+        k = fp.K
+        codes = np.array([0x110000] * (k - 1) + [ord(c) for c in text])
+        hashes = [int(fp.gram_hashes(codes[i : i + k], k)[0]) >> 32 for i in range(n)]
         w = min(max(4, min(fp.WINDOW, len(hashes) // 8)), len(hashes))
         want = {max(range(i, i + w), key=lambda j: (-hashes[j], j)) for i in range(len(hashes) - w + 1)}
         kept, places = fp.winnow(text)
@@ -27,6 +27,16 @@ def test_shared_passage_leaves_a_common_hash():
         assert set(fp.winnow(a + passage)[0]) & set(fp.winnow(passage + b)[0])
 
 
+def test_near_copies_of_every_length_are_alike():
+    rng = random.Random(4)
+    for n in (12, 19, 20, 21, 40, 60, 64, 76, 79, 80, 85, 300):
+        for _ in range(5):
+            text = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            other = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            a, b, c = (np.unique(fp.winnow(t)[0]) for t in (text, text + "abcd", other))
+            assert fp.likeness(a, b) > 0.5 and fp.likeness(a, c) < 0.3
+
+
 def test_rows(docs):
     rng = random.Random(3)
     rows = [(9, None), (4, ""), (2, "".join(rng.choice("abc é") for _ in range(300))), (7, "xyz" * 40), (5, "☃"), (1, "long " * 9000), (5, "a")]
