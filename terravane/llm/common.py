@@ -40,6 +40,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever stands in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def text_id(text: Column) -> Column:
     """The 128 bits by which equal texts are known."""
     return F.unhex(F.md5(text.cast("binary")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.llm.common import WORD, Scratch, free_name
+from terravane.llm.common import WORD, Scratch, columns, free_name
 
 BINS = 4096
 
@@ -108,7 +108,7 @@ def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     plan = scratch.keep(cut.select(F.col("bin_source").alias(of), F.col("bin_no").alias(no), repeats.cast("int").alias(repeat)).where(F.col(repeat) > 0), "plan")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_BINS else plan
     laid = docs.withColumn(bin_, seeded_bin(F.col("doc_id"), seed)).join(plan, F.col("source").eqNullSafe(F.col(of)) & (F.col(bin_) == F.col(no)))
-    return laid.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(repeat)))).select(*docs.columns)
+    return laid.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(repeat)))).select(*columns(docs))
 
 
 ORACLE = rf"""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from terravane.llm.common import Scratch, connected_components, free_name, text_id, tidied
+from terravane.llm.common import Scratch, columns, connected_components, free_name, text_id, tidied
 from terravane.llm.shingles import chunks, mix, shingle_sets
 
 PERMUTATIONS = 64
@@ -219,7 +219,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: of each component the one with its smallest id, null ids last.
 
     Of rows that share that id the smallest hash of the text decides, then that
-    of the whole row. Null, empty and blank texts have no shingles and all
+    of the whole row but for its maps. Null, empty and blank texts have no shingles and all
     stay. Very long texts are compared whole; other columns stay, whatever
     their names; an empty table gives an empty result.
     """
@@ -235,9 +235,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     again = scratch.keep(kept.select("id", "th"), "again")
     out = pick(docs, gone, "left_anti")
     if again.limit(1).count():
-        # copies of a kept row down to its id and text
-        row = F.struct(*docs.columns)
+        # copies of a kept row down to its id and text; maps have no hash, rows that differ only there are equally good
+        row, plain = F.struct(*columns(docs)), [c for c, f in zip(columns(docs), docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]
         th, one = free_name(docs, "_th"), free_name(docs, "_row")
-        firsts = pick(out, again, "left_semi").groupBy("doc_id", text_hash().alias(th)).agg(F.min_by(row, F.xxhash64(row)).alias(one)).select(f"{one}.*")
+        firsts = pick(out, again, "left_semi").groupBy("doc_id", text_hash().alias(th)).agg(F.min_by(row, F.xxhash64(*plain)).alias(one)).select(f"{one}.*")
         out = pick(out, again, "left_anti").unionByName(firsts)
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))

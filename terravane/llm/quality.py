@@ -15,8 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import WORD, Scratch, crc_mod
-from terravane.llm.near_dup import pick, text_hash
+from terravane.llm.common import WORD, Scratch, columns, crc_mod, free_name
+from terravane.llm.near_dup import text_hash
 
 #: Most labelled rows that the model is fitted on, those with the smallest lots, drawn by a hash of their ids.
 TRAIN_ROWS = 10_000
@@ -142,25 +142,28 @@ class RuleModel:
         return 1 / (1 + F.exp(-total))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The columns of ``score`` and th, the text's hash."""
-    held = crc_mod(F.col("doc_id"), 5) == 0
+def _texts(docs: DataFrame, text: str, words: str) -> DataFrame:
+    """``docs`` with the whole text and its words in columns of these names."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*columns(docs), whole.alias(text), F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)).alias(words))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> RuleModel:
+    """The model, from the statistics of a bounded sample of labelled rows."""
     stats = statistics(F.col("_text"), F.col("_words"))
-    names = list(stats)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    laid = docs.select("doc_id", text_hash().alias("th"), text.alias("_text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
-    table = scratch.keep(laid.select("doc_id", "th", held.alias("held_out"), *[c.alias(n) for n, c in stats.items()]), "statistics")
+    held = crc_mod(F.col("doc_id"), 5) == 0
     known = labels.where("quality is not null").where(~held).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    # of several texts of an id the one with the smallest hash, so that reruns agree
-    one = table.where("not held_out").groupBy("doc_id").agg(F.min_by(F.struct(*names), "th").alias("row")).select("doc_id", "row.*")
-    labelled = one.join(known, "doc_id").withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007)) / 1_000_000_007)
+    labelled = scratch.keep(docs.select("doc_id").where(~held).distinct().join(known, "doc_id"), "labelled")
+    labelled = labelled.withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007)) / 1_000_000_007)
     # lots are drawn first, so that tasks send the driver about as many rows together as the sample has
     share = (2 * TRAIN_ROWS + 40) / max(1, labelled.count())
-    sample = labelled.where(F.col("lot") < share).orderBy("lot", "doc_id").limit(TRAIN_ROWS)
-    rows = sample.select("y", *names).toPandas().to_numpy(dtype=float)
-    model = RuleModel(names, rows[:, 1:], rows[:, 0])
-    scored = table.select("doc_id", "th", "held_out", F.round(model.expression(), 9).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    drawn = scratch.keep(labelled.where(F.col("lot") < share).orderBy("lot", "doc_id").limit(TRAIN_ROWS), "drawn")
+    # of several texts of an id the one with the smallest hash, so that reruns agree
+    mine = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi")  # TRAIN_ROWS rows at most
+    rows = _texts(mine, "_text", "_words").select("doc_id", text_hash().alias("th"), *[c.alias(n) for n, c in stats.items()])
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*stats), "th").alias("row")).select("doc_id", "row.*")
+    sample = one.join(drawn, "doc_id").orderBy("lot", "doc_id").select("y", *stats).toPandas().to_numpy(dtype=float)
+    return RuleModel(list(stats), sample[:, 1:], sample[:, 0])
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -173,9 +176,15 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) ->
     classes every score is the same. Repeated rows and null ids are returned
     as they come; of texts that share an id the one with the smallest hash is
     learned from; very long texts are scored whole; other columns are ignored;
-    an empty table gives an empty result. Statistics are computed once and written to the shared folder.
+    an empty table gives an empty result. Rows are scored where they are read.
     """
-    return _scored(docs, labels, Scratch(docs.sparkSession)).drop("th")
+    rows = docs.select("doc_id", "text")
+    model = _fitted(rows, labels, Scratch(docs.sparkSession))
+    stats = statistics(F.col("_text"), F.col("_words"))
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    measured = _texts(rows, "_text", "_words").select("doc_id", held.alias("held_out"), *[c.alias(n) for n, c in stats.items()])
+    scored = measured.select("doc_id", "held_out", F.round(model.expression(), 9).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -187,7 +196,12 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     of both classes all rows get one verdict; an empty table gives an empty
     result.
     """
-    scratch = Scratch(docs.sparkSession)
-    # the score is the text's alone, so ids that are null or repeated do not matter
-    rejected = scratch.keep(_scored(docs, labels, scratch).where("predicted = 0").select("th").distinct(), "rejected")
-    return pick(docs, rejected, "left_anti").select(*docs.columns)
+    model = _fitted(docs.select("doc_id", "text"), labels, Scratch(docs.sparkSession))
+    text, words, good = (free_name(docs, n) for n in ("_text", "_words", "_good"))
+    stats = {n: (free_name(docs, f"_{n}"), c) for n, c in statistics(F.col(text), F.col(words)).items()}
+    model.names = [stats[n][0] for n in model.names]
+    measured = _texts(docs, text, words).select(*columns(docs), *[c.alias(n) for n, c in stats.values()])
+    scored = measured.select(*columns(docs), F.round(model.expression(), 9).alias(good))
+    # an array of one score or of none: a condition that the optimizer does not copy into the statistics
+    passed = F.explode(F.filter(F.array(good), lambda s: s >= THRESHOLD))
+    return scored.select(*columns(docs), passed.alias(good)).select(*columns(docs))

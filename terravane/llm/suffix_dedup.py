@@ -415,5 +415,6 @@ def strip_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     repeated becomes empty; a null id does not matter; a very long text is
     judged whole; an empty table gives an empty result.
     """
-    laid = _with_spans(docs, batches)
-    return laid.mapInArrow(_strip, docs.schema)
+    # rows pass through Python under plain names
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    return _with_spans(plain, batches).mapInArrow(_strip, plain.schema).toDF(*docs.columns)

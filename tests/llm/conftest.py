@@ -8,6 +8,17 @@ SCHEMA = T.StructType(
 )
 
 
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    """The same with a map and with names that hold a dot, a backtick and a blank."""
+
+    def make(rows):
+        kind = "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>, `a.b` string, `c``d` string, `e f` struct<`g.h`:string>"
+        return spark.createDataFrame([(i, t, "xx", "s", len(t or ""), {"k": i or 0}, "dot", "tick", ("in",)) for i, t in rows], kind)
+
+    return make
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     """Makes a table of documents from (doc_id, text) or (doc_id, text, lang) rows, with clashing extra columns."""
