@@ -96,10 +96,12 @@ def checked_policies(policies: DataFrame) -> DataFrame:
 
 
 def upsert_policies(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Policies by scope: sound ones replace the scope's policy, which keeps its id and its first date."""
+    """Policies by scope: sound ones replace the scope's policy, its cap too if they have none; the policy keeps its id and its first date."""
     sound = checked_policies(new).where("problem is null").drop("problem")
     keep = lambda o, n: F.coalesce(o, n)
-    return upsert(old, sound, SCOPE, {"policy_id": keep, "created_at": keep})
+    held = lambda df: df.withColumn("ltv_cap", F.struct("ltv_cap"))  # noqa: E731  a cap that is null differs from a policy that is not there
+    out = upsert(held(old), held(sound), SCOPE, {"policy_id": keep, "created_at": keep})
+    return out.withColumn("ltv_cap", F.col("ltv_cap.ltv_cap"))
 
 
 def delete_policies(old: DataFrame, ids: DataFrame, user: str, at: Column) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
@@ -10,6 +11,7 @@ from terravane.operators import dashboard, pages, spatial
 from terravane.plans.dashboard import _wide
 from terravane.plans.risk import BASE, ENRICHED, enriched
 from terravane.sources.adapter import CITIES, oracle, view, views
+from terravane.sources.shared import stored
 
 EXCLUDED = ("gz", "zs")
 
@@ -70,13 +72,14 @@ def dropped(spark, sf_dir):
     return A.dropped_cities(cities, _parts(spark, sf_dir).where("city not in ('gz', 'sg')"))
 
 
-def _versions(spark):
-    return spark.createDataFrame([("2026-05-01-r1", 1, 15.2), ("2026-05-01-r3", 2, 14.75), ("2026-05-02-r1", 5, 14.9)], "version string, trained_at int, mape double")
-
-
 def lineage(spark, sf_dir):
-    v = _versions(spark)
-    return A.lineage(v).select("version", "delta").unionByName(A.next_version(v, "2026-05-01").select("version", F.lit(None).cast("double").alias("delta"))).unionByName(A.next_version(v, "2026-06-01").select("version", F.lit(None).cast("double").alias("delta")))
+    """Versions of the models of each day and city with the change of their error, and the numbers that two days' next ones get."""
+    rows = view(spark, sf_dir, "listing").groupBy("first_seen", "city").agg((F.floor(F.avg("unit_price")) / 8).alias("mape"))
+    nth = F.row_number().over(Window.partitionBy("first_seen").orderBy("city"))
+    v = rows.withColumn("nth", nth).select(F.concat(F.col("first_seen").cast("string"), F.lit("-r"), F.col("nth").cast("string")).alias("version"), (F.datediff("first_seen", F.lit("1990-01-01")) * 100 + F.col("nth")).alias("trained_at"), "mape")
+    v = stored(v, "versions")
+    none = F.lit(None).cast("double").alias("delta")
+    return A.lineage(v).select("version", "delta").unionByName(A.next_version(v, "1995-03-15").select("version", none)).unionByName(A.next_version(v, "2026-06-01").select("version", none))
 
 
 def segments(spark, sf_dir):
@@ -213,7 +216,12 @@ QUERIES = {
         FROM (SELECT city, median(estimate / area) AS e, median(book / area) AS k FROM {_P} GROUP BY 1))"""),
     ),
     "attribution_dropped": (dropped, oracle(_CAP, f"SELECT unnest([{', '.join(repr(c) for c in CITIES.values())}]) AS city EXCEPT SELECT city FROM {_P} WHERE city NOT IN ('gz', 'sg')")),
-    "attribution_lineage": (lineage, "SELECT a AS version, CAST(b AS DOUBLE) AS delta FROM (VALUES ('2026-05-01-r1', NULL), ('2026-05-01-r3', -0.45), ('2026-05-02-r1', 0.15), ('2026-05-01-r4', NULL), ('2026-06-01-r1', NULL)) v(a, b)"),
+    "attribution_lineage": (
+        lineage,
+        oracle("listing", """WITH r AS (SELECT first_seen, city, floor(avg(unit_price)) / 8 AS mape FROM listing GROUP BY 1, 2), v AS (SELECT *, row_number() OVER (PARTITION BY first_seen ORDER BY city) AS nth FROM r)
+        SELECT CAST(first_seen AS VARCHAR) || '-r' || CAST(nth AS VARCHAR) AS version, round(mape - lag(mape) OVER (ORDER BY first_seen, nth), 3) AS delta FROM v
+        UNION ALL SELECT '1995-03-15-r' || CAST(count(*) + 1 AS VARCHAR), NULL FROM v WHERE first_seen = DATE '1995-03-15' UNION ALL SELECT '2026-06-01-r1', NULL"""),
+    ),
     "valuation_segments": (
         segments,
         oracle("ad", "SELECT CASE WHEN lat IS NOT NULL AND community IS NOT NULL THEN 'both' WHEN lat IS NOT NULL THEN 'place' WHEN community IS NOT NULL THEN 'community' ELSE 'none' END AS segment, count(*) AS n, round(avg(load_no % 100), 3) AS mape FROM ad GROUP BY 1"),

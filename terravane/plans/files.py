@@ -55,7 +55,7 @@ def lake(spark, sf_dir):
 
 def snapshot(spark, sf_dir):
     path = shared_path(spark, "lake")
-    ads = view(spark, sf_dir, "ad").where("city in ('gz', 'sz')").withColumn("url_key", F.col("ad_id")).select("url_key", "city", "unit_price", F.lit("sale").alias("kind"))
+    ads = view(spark, sf_dir, "ad").withColumn("url_key", F.col("ad_id")).select("url_key", "city", "unit_price", F.lit("sale").alias("kind"))
     S.write_lake(ads, path, "2026-05-01")
     S.write_lake(ads.where("city = 'gz'"), path, "2026-05-02")
     both = spark.read.parquet(path)
@@ -112,11 +112,11 @@ def inbox_replay(spark, sf_dir):
 
 
 def repaired(spark, sf_dir):
-    """City names that were read with the wrong encoding, and ones that were not, after repair."""
-    names = spark.createDataFrame([(n, i) for i, n in enumerate(CITIES)], "name string, i int")
-    broken = F.decode(F.encode("name", "UTF-8"), "ISO-8859-1")
-    rows = names.select("i", F.when(F.col("i") % 2 == 0, broken).otherwise(F.col("name")).alias("text")).unionByName(names.select((F.col("i") + 100).alias("i"), F.lit("café").alias("text")))
-    return rows.select("i", S.repaired_text(F.col("text")).alias("text"))
+    """Addresses that were read with the wrong encoding, ones that were not, and Latin text, after repair."""
+    n, address = F.col("collateral_id"), F.col("property_addr")
+    broken = F.decode(F.encode(address, "UTF-8"), "ISO-8859-1")
+    text = F.when(n % 7 == 0, F.lit("café")).when(n % 2 == 0, broken).otherwise(address)
+    return view(spark, sf_dir, "collateral").select("collateral_id", S.repaired_text(text).alias("text"))
 
 
 def renamed(spark, sf_dir):
@@ -136,7 +136,7 @@ QUERIES = {
         oracle("ad", f"""WITH a AS (SELECT * FROM {_KEYED} WHERE city IN ('gz', 'sz', 'fs') QUALIFY row_number() OVER (PARTITION BY k ORDER BY ad_id) = 1), b AS (SELECT * FROM {_KEYED} WHERE city = 'sz' AND kind = 'sale' QUALIFY row_number() OVER (PARTITION BY k ORDER BY ad_id) = 1)
         SELECT kind AS type, city, count(*) AS n, count(DISTINCT k) AS keys FROM (SELECT kind, city, k FROM a WHERE NOT (city = 'sz' AND kind = 'sale') UNION ALL SELECT kind, city, k FROM b WHERE unit_price > 30000) GROUP BY 1, 2"""),
     ),
-    "files_snapshot": (snapshot, oracle("ad", "SELECT DATE '2026-05-01' AS snapshot_dt, city, count(*) AS n FROM ad WHERE city IN ('gz', 'sz') GROUP BY 2 UNION ALL SELECT DATE '2026-05-02', city, count(*) FROM ad WHERE city = 'gz' GROUP BY 2")),
+    "files_snapshot": (snapshot, oracle("ad", "SELECT DATE '2026-05-01' AS snapshot_dt, city, count(*) AS n FROM ad GROUP BY 2 UNION ALL SELECT DATE '2026-05-02', city, count(*) FROM ad WHERE city = 'gz' GROUP BY 2")),
     "files_union_types": (
         union_types,
         oracle("ad", "SELECT ad_id, CASE WHEN load_no % 2 = 0 THEN 1::DOUBLE ELSE 1.5 END AS a, CASE WHEN load_no % 2 = 0 THEN '2' ELSE 't' END AS b, CASE WHEN load_no % 2 = 0 THEN 's' END AS only_sale, CAST(CASE WHEN load_no % 2 = 1 THEN 7 END AS BIGINT) AS only_rent FROM ad"),
@@ -157,6 +157,6 @@ QUERIES = {
         oracle("loan", """SELECT '{"loan_id":' || loan_id || ',"balance":"' || CAST(CAST(balance AS DECIMAL(14,2)) AS VARCHAR) || '","customer_id":' || CASE WHEN loan_id % 2 = 0 THEN CAST(customer_id AS VARCHAR) ELSE 'null' END || '}' AS line FROM loan"""),
     ),
     "files_inbox_replay": (inbox_replay, oracle("loan collateral", f"SELECT CAST(1 AS INT) AS received_at, count(*) AS n FROM {_A}")),
-    "files_repaired_text": (repaired, f"SELECT CAST(i - 1 AS INT) AS i, n AS text FROM (SELECT unnest([{', '.join(repr(n) for n in CITIES)}]) AS n, generate_subscripts([{', '.join(repr(n) for n in CITIES)}], 1) AS i) UNION ALL SELECT CAST(100 + i AS INT), 'café' FROM range(21) g(i)"),
+    "files_repaired_text": (repaired, oracle("collateral", "SELECT collateral_id, CASE WHEN collateral_id % 7 = 0 THEN 'café' ELSE property_addr END AS text FROM collateral")),
     "files_renamed": (renamed, oracle("loan", "SELECT loan_id, balance, customer_id AS kept FROM loan")),
 }

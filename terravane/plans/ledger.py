@@ -75,22 +75,27 @@ def snapshot_pages(spark, sf_dir):
     return both.unionByName(wanted).unionByName(few)
 
 
-_POLICIES = "policy_id int, scope_type string, scope_value string, action string, ltv_cap double, enabled int, created_at int, updated_at int"
-
-
 def policies(spark, sf_dir):
-    old = spark.createDataFrame([(1, "zone", "z1", "reject", 0.7, 1, 10, 10), (2, "city", "gz", "watch", None, 0, 11, 11), (3, "city", "sz", "strict", 0.8, 1, 12, 12)], _POLICIES)
-    new = spark.createDataFrame([(9, "zone", "z1", "strict", 0.6, 1, 20, 20), (8, "city", "fs", "reject", None, 1, 20, 21), (7, "city", "dg", "watch", 2.5, 1, 20, 22), (6, "all", None, "strict", 2.0, 0, 20, 23), (5, "city", "zh", "watch", None, 1, 20, 24)], _POLICIES)
+    """The policy list after an upsert by scope and a delete, the problems of refused policies, and the audit of what went."""
+    places = view(spark, sf_dir, "place")
+    n = F.col("place_id")
+    kind, value = F.when(n % 3 == 0, "zone").when(n % 3 == 1, "city").otherwise("all"), F.concat(F.lit("s"), n.cast("string"))
+    scope = [kind.alias("scope_type"), value.alias("scope_value")]
+    old = places.where(n % 5 != 0).select(n.alias("policy_id"), *scope, F.when(n % 2 == 0, "reject").otherwise("watch").alias("action"), F.when(n % 4 != 3, (n % 10 + 1) / 10).alias("ltv_cap"), (n % 2).alias("enabled"), n.alias("created_at"), n.alias("updated_at"))
+    action = F.when(n % 3 == 0, "strict").when(n % 3 == 1, "watch").otherwise("reject")
+    new = places.where(n % 2 == 0).select((n + 1_000_000).alias("policy_id"), *scope, action.alias("action"), F.when(n % 7 != 0, (n % 25) / 10).alias("ltv_cap"), F.lit(1).cast("long").alias("enabled"), (n + 5).alias("created_at"), (n + 6).alias("updated_at"))
     out = L.upsert_policies(old, new).unionByName(L.checked_policies(new).where("problem is not null").withColumns({"action": F.col("problem"), "policy_id": -F.col("policy_id")}).drop("problem"))
-    kept, audit = L.delete_policies(out, spark.createDataFrame([(3,)], "policy_id int"), "root", F.lit(99))
+    kept, audit = L.delete_policies(out, out.where("policy_id > 0 and policy_id % 10 = 3").select("policy_id"), "root", F.lit(99).cast("long"))
     listed = kept.orderBy(F.desc("enabled"), F.desc("updated_at"), F.desc("policy_id")).select("policy_id", L.scope_label(F.col("scope_type"), F.col("scope_value")).alias("scope"), "action", "ltv_cap", "created_at")
-    return listed.unionByName(audit.select(F.get_json_object("detail", "$.policy_id").cast("int").alias("policy_id"), F.get_json_object("detail", "$.scope_value").alias("scope"), "action", F.lit(None).cast("double").alias("ltv_cap"), F.col("ts").alias("created_at")))
+    return listed.unionByName(audit.select(F.get_json_object("detail", "$.policy_id").cast("long").alias("policy_id"), F.get_json_object("detail", "$.scope_value").alias("scope"), "action", F.lit(None).cast("double").alias("ltv_cap"), F.col("ts").alias("created_at")))
 
 
 def sources(spark, sf_dir):
-    """The source list in its fixed order after one flag was set."""
-    rows = spark.createDataFrame([("a", "file", 1, 0), ("b", "mysql", 0, 0), ("c", "kafka", 1, 1), ("d", "other", 1, 1)], "source string, source_type string, enabled int, scheduled int")
-    out = L.toggled(L.toggled(rows, "b", "enabled", True), "c", "scheduled", False)
+    """The source list in its fixed order after two flags were set."""
+    n = F.col("place_id")
+    kind = F.when(n % 4 == 0, "file").when(n % 4 == 1, "mysql").when(n % 4 == 2, "kafka").otherwise("other")
+    rows = view(spark, sf_dir, "place").select(F.concat(F.lit("p"), n.cast("string")).alias("source"), kind.alias("source_type"), (n % 2).cast("int").alias("enabled"), (n % 3 == 0).cast("int").alias("scheduled"))
+    out = L.toggled(L.toggled(rows, "p2", "enabled", True), "p3", "scheduled", False)
     place = L.in_order_of(F.col("source_type"), "mysql", "kafka", "file")
     return out.withColumn("place", place).orderBy("place", "source")
 
@@ -108,9 +113,12 @@ def health(spark, sf_dir):
 
 
 def levels(spark, sf_dir):
-    cols = spark.createDataFrame([("loan", "balance"), ("loan", "loan_id"), ("customer", "name"), ("x", "y")], "table string, column string")
-    known = spark.createDataFrame([("loan", "balance", 2), ("loan", "balance", 3), ("loan", "*", 1), ("customer", "phone", 4)], "table string, column string, level_rank int")
-    return L.level_of(cols, known)
+    """Levels of columns: their own, their table's, or none."""
+    n = F.col("customer_id")
+    cols = view(spark, sf_dir, "borrower").select(F.when(n % 3 == 0, "loan").when(n % 3 == 1, "customer").otherwise("x").alias("table"), F.concat(F.lit("c"), (n % 90).cast("string")).alias("column"))
+    p = F.col("place_id")
+    known = view(spark, sf_dir, "place").select(F.when(p % 2 == 0, "loan").otherwise("customer").alias("table"), F.when(p % 22 == 0, "*").otherwise(F.concat(F.lit("c"), (p % 60).cast("string"))).alias("column"), (p % 5).cast("int").alias("level_rank"))
+    return L.level_of(cols.distinct(), known)
 
 
 def _audit(spark, sf_dir):
@@ -211,17 +219,32 @@ QUERIES = {
     ),
     "ledger_policies": (
         policies,
-        """SELECT CAST(a AS INT) AS policy_id, b AS scope, c AS action, CAST(d AS DOUBLE) AS ltv_cap, CAST(e AS INT) AS created_at FROM (VALUES (1, 'zone z1', 'strict', 0.6, 10), (2, 'city gz', 'watch', NULL, 11), (6, 'all', 'strict', 2.0, 20), (5, 'city zh', 'watch', NULL, 20),
-        (-8, 'city fs', 'cap is missing', NULL, 20), (-7, 'city dg', 'cap is out of bounds', 2.5, 20), (3, 'sz', 'policy_delete', NULL, 99)) v(a, b, c, d, e)""",
+        oracle("place", """WITH p AS (SELECT place_id AS n, CASE place_id % 3 WHEN 0 THEN 'zone' WHEN 1 THEN 'city' ELSE 'all' END AS kind, 's' || CAST(place_id AS VARCHAR) AS value FROM place),
+        o AS (SELECT n AS policy_id, kind, value, CASE WHEN n % 2 = 0 THEN 'reject' ELSE 'watch' END AS action, CASE WHEN n % 4 <> 3 THEN (n % 10 + 1) / 10 END AS ltv_cap, n AS created_at FROM p WHERE n % 5 <> 0),
+        w AS (SELECT n + 1000000 AS policy_id, kind, value, CASE n % 3 WHEN 0 THEN 'strict' WHEN 1 THEN 'watch' ELSE 'reject' END AS action, CASE WHEN n % 7 <> 0 THEN (n % 25) / 10 END AS ltv_cap, n + 5 AS created_at FROM p WHERE n % 2 = 0),
+        x AS (SELECT *, CASE WHEN action <> 'watch' AND ltv_cap IS NULL THEN 'cap is missing' WHEN ltv_cap <= 0 OR ltv_cap > 2 THEN 'cap is out of bounds' END AS problem FROM w),
+        m AS (SELECT coalesce(o.policy_id, s.policy_id) AS policy_id, coalesce(o.kind, s.kind) AS kind, coalesce(o.value, s.value) AS value, CASE WHEN s.value IS NULL THEN o.action ELSE s.action END AS action, CASE WHEN s.value IS NULL THEN o.ltv_cap ELSE s.ltv_cap END AS ltv_cap,
+          coalesce(o.created_at, s.created_at) AS created_at FROM o FULL JOIN (SELECT * FROM x WHERE problem IS NULL) s ON s.kind = o.kind AND s.value = o.value UNION ALL SELECT -policy_id, kind, value, problem, ltv_cap, created_at FROM x WHERE problem IS NOT NULL)
+        SELECT policy_id, CASE WHEN gone THEN value WHEN kind = 'all' THEN value ELSE kind || ' ' || value END AS scope, CASE WHEN gone THEN 'policy_delete' ELSE action END AS action, CASE WHEN NOT gone THEN ltv_cap END AS ltv_cap, CASE WHEN gone THEN 99 ELSE created_at END AS created_at
+        FROM (SELECT *, policy_id > 0 AND policy_id % 10 = 3 AS gone FROM m)"""),
+    ),
+    "ledger_sources": (
+        sources,
+        oracle("place", """SELECT *, CAST(CASE source_type WHEN 'mysql' THEN 1 WHEN 'kafka' THEN 2 WHEN 'file' THEN 3 ELSE 4 END AS INT) AS place FROM (SELECT 'p' || CAST(place_id AS VARCHAR) AS source, ['file', 'mysql', 'kafka', 'other'][CAST(place_id % 4 + 1 AS INT)] AS source_type,
+        CAST(CASE WHEN place_id = 2 THEN 1 ELSE place_id % 2 END AS INT) AS enabled, CAST(place_id % 3 = 0 AND place_id <> 3 AS INT) AS scheduled FROM place)"""),
     ),
-    "ledger_sources": (sources, "SELECT a AS source, b AS source_type, CAST(c AS INT) AS enabled, CAST(d AS INT) AS scheduled, CAST(e AS INT) AS place FROM (VALUES ('b', 'mysql', 1, 0, 1), ('c', 'kafka', 1, 0, 2), ('a', 'file', 1, 0, 3), ('d', 'other', 1, 1, 4)) v(a, b, c, d, e)"),
     "ledger_health": (
         health,
         oracle("change loan", """WITH h AS (SELECT 'change' AS t, count(*) AS n, epoch(TIMESTAMP '2030-01-01') - floor(epoch(max(cdc_ts))) AS a FROM change UNION ALL SELECT 'loan', count(*), epoch(TIMESTAMP '2030-01-01') - epoch(max(origination_date)::TIMESTAMP) FROM loan UNION ALL SELECT 'none', 0, NULL),
         g AS (SELECT *, CASE WHEN n = 0 OR a IS NULL THEN 'empty' WHEN a >= 1e9 THEN 'bad' WHEN a >= 1e8 THEN 'warn' ELSE 'ok' END AS s FROM h)
         SELECT t AS "table", n AS rows, CAST(a AS BIGINT) AS age_s, s AS status FROM g UNION ALL SELECT 'all', NULL, NULL, CASE WHEN bool_or(s = 'bad') THEN 'bad' WHEN bool_or(s = 'warn') THEN 'warn' WHEN bool_and(s = 'empty') THEN 'empty' ELSE 'ok' END FROM g UNION ALL SELECT 'newest', NULL, CAST(min(a) AS BIGINT), NULL FROM h"""),
     ),
-    "ledger_levels": (levels, """SELECT a AS "table", b AS "column", CAST(c AS INT) AS level_rank FROM (VALUES ('loan', 'balance', 3), ('loan', 'loan_id', 1), ('customer', 'name', NULL), ('x', 'y', NULL)) v(a, b, c)"""),
+    "ledger_levels": (
+        levels,
+        oracle("borrower place", """WITH c AS (SELECT DISTINCT CASE customer_id % 3 WHEN 0 THEN 'loan' WHEN 1 THEN 'customer' ELSE 'x' END AS t, 'c' || CAST(customer_id % 90 AS VARCHAR) AS c FROM borrower),
+        k AS (SELECT CASE WHEN place_id % 2 = 0 THEN 'loan' ELSE 'customer' END AS t, CASE WHEN place_id % 22 = 0 THEN '*' ELSE 'c' || CAST(place_id % 60 AS VARCHAR) END AS c, CAST(max(place_id % 5) AS INT) AS r FROM place GROUP BY 1, 2)
+        SELECT c.t AS "table", c.c AS "column", coalesce(o.r, w.r) AS level_rank FROM c LEFT JOIN k o ON o.t = c.t AND o.c = c.c LEFT JOIN k w ON w.t = c.t AND w.c = '*'"""),
+    ),
     "ledger_audit_page": (
         audit_page,
         oracle("image", """SELECT id AS audit_id, 'u' || CAST(user_id % 9 AS VARCHAR) AS user, CASE WHEN id % 7 = 0 OR id % 5 = 0 THEN 0 ELSE id % 40 END AS touched FROM image ORDER BY cdc_ts DESC, id DESC LIMIT 200"""),

@@ -73,7 +73,9 @@ def test_recorded_attempts_keep_the_stored_bound(spark):
     assert got == {1: ("failed", 3, 5), 2: ("success", 1, 3)}
 
 
-def test_ranks_over_ranges(spark):
+@pytest.mark.parametrize("size", [200, 1_000_000])
+def test_ranks_over_ranges(spark, monkeypatch, size):
+    monkeypatch.setattr(order, "ROWS", size)
     rows = [(i, float(i % 50) if i % 7 else None) for i in range(3000)]
     got = {r.k: r["rank"] for r in order.with_rank(spark.createDataFrame(rows, "k int, v double").repartition(5), "v", "k").collect()}
     want = {k: n for n, (_, k) in enumerate(sorted((v, k) for k, v in rows if v is not None), 1)}
@@ -108,3 +110,62 @@ def test_stages_keep_their_order():
     assert [s for s, *_ in stages.run({s: lambda: None for s in stages.ORDER}, only=("alert", "etl", "risk"))] == ["etl", "risk", "alert"]
     with pytest.raises(ValueError, match="unknown"):
         stages.run({}, only=("nothing",))
+
+
+def test_a_new_policy_without_a_cap_takes_the_old_one_off(spark):
+    kind = "policy_id int, scope_type string, scope_value string, action string, ltv_cap double, created_at int"
+    old = spark.createDataFrame([(1, "zone", "z1", "reject", 0.7, 10), (2, "city", "gz", "watch", 0.5, 11)], kind)
+    new = spark.createDataFrame([(9, "zone", "z1", "watch", None, 20), (8, "city", "fs", "reject", None, 20), (7, "city", "dg", "watch", 2.5, 20)], kind)
+    assert sorted(tuple(r) for r in ledger.upsert_policies(old, new).select("policy_id", "action", "ltv_cap", "created_at").collect()) == [(1, "watch", None, 10), (2, "watch", 0.5, 11)]
+
+
+@pytest.mark.parametrize("size", [30, 1_000_000])
+def test_equal_samples_have_chance_one(spark, monkeypatch, size):
+    monkeypatch.setattr(order, "ROWS", size)
+    same = spark.createDataFrame([(float(i),) for i in range(1000)], "v double")
+    r = models.distribution_gap(same, same, "v").first()
+    assert (r.ks, r.p_value) == (0.0, 1.0)
+    # values of the limiting law's tables
+    for n, at, want in ((200, 5, 0.963945), (200, 10, 0.27), (200, 16, 0.011952)):
+        a = spark.createDataFrame([(float(i),) for i in range(n)], "v double")
+        b = spark.createDataFrame([(float(i + at),) for i in range(n)], "v double")
+        assert models.distribution_gap(a, b, "v").first().p_value == pytest.approx(want, abs=1e-3), at
+
+
+def test_names_within_names_of_every_length(spark):
+    import random
+
+    rng = random.Random(2)
+    name = lambda n: "".join(rng.choice("甲乙丙丁") for _ in range(n))
+    entries = [("gz", name(rng.randrange(1, 41)), i) for i in range(60)] + [("gz", "阳光花园二期东区甲乙丙丁戊己", 60), ("sz", "甲", 61)]
+    asked = [("gz", name(rng.randrange(1, 41))) for _ in range(120)] + [("gz", "阳光花园二期东区甲乙丙丁戊"), ("gz", "我的阳光花园二期东区甲乙丙丁戊己楼"), ("gz", "花"), ("sz", "乙丙"), ("zs", "甲")]
+    known = {}
+    for c, n, p in entries:
+        known.setdefault((c, n), p)
+    d = spark.createDataFrame([(c, n, float(p), 1.0, "hit", p) for (c, n), p in known.items()], "city string, community string, lat double, lng double, status string, place int")
+    got = {(r.city, r.community): (r.lat, r.status) for r in geocode.geocode(spark.createDataFrame(asked, "city string, community string"), d).collect()}
+    for c, n in set(asked):
+        same = known.get((c, n))
+        first = same if same is not None else min((p for (x, e), p in known.items() if x == c and (e in n or n in e)), default=None)
+        assert got[c, n] == ((float(first), "hit") if first is not None else (None, "pending")), n
+
+
+def test_titles_fall_back_to_the_vocabulary(spark):
+    names = cleaning.Names(("花园", "家园", "公馆"), "买售", ("精装", "三居", "两居", "入住"), ("望花园",))
+    known = spark.createDataFrame([("悦泰春天", "悦泰春天", 12), ("悦泰春", "悦泰春天", 12)], "name string, canonical string, n long")
+    rows = [(1, "悦泰春天 3房2厅 精装"), (2, "刚需小三居 大两居 拎包入住"), (3, "望花园 精装修 三房"), (4, "泰安花园 悦泰春天"), (5, None), (6, "悦泰春 房"), (6, "悦泰春 房"), (7, "大悦泰春天城 房")]
+    got = sorted((r.k, r.name) for r in cleaning.communities(spark.createDataFrame(rows, "k int, title string"), "k", names, known, ("天城",)).where("k <> 5").collect() if r.name)
+    assert got == [(1, "悦泰春天"), (4, "泰安花园"), (6, "悦泰春天"), (6, "悦泰春天")]
+
+
+def test_one_copy_of_the_title_parser(spark):
+    names = cleaning.Names(("花园", "家园"), "买售", ("精装",), ("望花园",))
+    plan = spark.createDataFrame([("a",)], "title string").select(cleaning.title_community(F.col("title"), names).alias("name"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 1
+
+
+def test_strings_of_a_title_once_where_they_stand_first(spark):
+    rows = spark.createDataFrame([(1, "a甲乙丙 丁甲乙丙戊，x"), (2, "甲乙"), (3, None)], "k int, title string")
+    got = sorted((r.gram, r.start, r.leads, r.trails) for r in cleaning.grams(rows).collect())
+    want = [("甲乙丙", 2, True, True), ("丁甲乙", 6, True, False), ("乙丙戊", 8, False, True), ("丁甲乙丙", 6, True, False), ("甲乙丙戊", 7, False, True), ("丁甲乙丙戊", 6, True, True)]
+    assert got == sorted(want)
