@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import limit_batches
+from terravane.llm.common import limit_batches, tidied
 
 K, WINDOW = 20, 100
 #: Most ranges of ids; the driver holds one number for each.
@@ -117,6 +117,7 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
 
 
+@tidied
 def _in_order(batches):
     """Rows by range, those of the range first and the one after its end last; each needs only the row behind it."""
     held, out = None, []
@@ -135,6 +136,7 @@ def _in_order(batches):
         yield _batch(out)
 
 
+@tidied
 def _alone(batches):
     for batch in batches:
         rows = []
