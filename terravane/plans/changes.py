@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from terravane.operators import risk
 from terravane.sources.adapter import oracle, view, views
-from terravane.sources.shared import stored
+from terravane.sources import binlog
+from terravane.sources.keyed import KeyedTable
+from terravane.sources.shared import shared_path, stored
 from terravane.streaming import changes, log
 
 
@@ -30,6 +32,46 @@ def incremental(spark, sf_dir):
     return changes.recompute(compute(loans), plan, moved, compute)
 
 
+def keyed_state(spark, sf_dir):
+    """The same from a keyed table whose touched buckets alone were rewritten, after the batch was given twice."""
+    log_, loans, collateral = views(spark, sf_dir, "change", "loan", "collateral")
+    compute = lambda df: risk.enrich(df, collateral).select("loan_id", "balance", "ltv", "risk_class")
+    plan = stored(changes.plan_impact(log_, loans), "plan")
+    moved = loans.withColumn("balance", F.col("balance") * 2).join(plan.where("action = 'recalc'"), "loan_id", "left_semi")
+    first = compute(loans)
+    table = KeyedTable(spark, shared_path(spark, "state"), first.schema, "loan_id", buckets=8)
+    table.replace(first)
+    for _ in range(2):
+        table.apply(compute(moved), plan.where("action = 'delete'").select("loan_id"), 1)
+    table.clean()
+    return table.read()
+
+
+def _binlog(spark, sf_dir):
+    """Change images as log files of JSON lines; some lines are broken."""
+    e = view(spark, sf_dir, "image")
+    text = lambda c: F.coalesce(F.col(c), F.lit("null"))
+    line = F.concat(F.lit('{"table": "'), F.col("table_name"), F.lit('", "type": "'), F.col("event_type"), F.lit('", "before": '), text("before_json"), F.lit(', "after": '), text("after_json"), F.lit(', "ts": "'), F.col("cdc_ts").cast("string"), F.lit('"}'))
+    path = shared_path(spark, "binlog")
+    e.select(line.alias("value"), F.format_string("binlog.%06d", (F.col("id") / 1000).cast("long")).alias("file")).write.partitionBy("file").text(path)
+    return path.removeprefix("file:")
+
+
+def captured(spark, sf_dir):
+    """What a capture reads from log files, by table and event."""
+    rows = binlog.read(spark, _binlog(spark, sf_dir))
+    balance = F.get_json_object("after_json", "$.balance").cast("double")
+    return rows.groupBy("table_name", "event_type").agg(F.count("*").alias("n"), F.count("after_json").alias("after_images"), F.round(F.sum(balance), 2).alias("balance"), F.substring(F.max("ts"), 1, 19).alias("last"))
+
+
+def json_ends(spark, sf_dir):
+    """The ends of nested change images, with names repaired that were read in the wrong encoding."""
+    e = view(spark, sf_dir, "image").where("before_json is not null")
+    broken = F.decode(F.encode(F.lit("广州"), "UTF-8"), "ISO-8859-1")
+    text = F.concat(F.lit('{"image": '), F.col("before_json"), F.lit(', "list": [1, {"city": "'), broken, F.lit('"}, [true, null]], "plain": "café"}'))
+    return log.leaves(e.select("id", text.alias("text")), "id", "text").where(F.col("path") != "$").groupBy("path", "value").agg(F.count("*").alias("n"))
+
+
 def hourly(spark, sf_dir):
     return changes.hourly(view(spark, sf_dir, "change"))
 
@@ -121,6 +163,25 @@ QUERIES = {
         t AS (SELECT *, CASE WHEN true_market_price > 0 THEN round(balance / true_market_price, 4) END AS ltv FROM s)
         SELECT loan_id, balance, ltv, CASE WHEN {_CLS} = '正常' AND is_high_risk_zone = 1 THEN '关注' ELSE {_CLS} END AS risk_class FROM t"""),
     ),
+    "change_keyed_state": (
+        keyed_state,
+        oracle("change loan collateral", f"""WITH p AS ({_PLAN}), s AS (SELECT l.loan_id, CASE WHEN p.action = 'recalc' THEN balance * 2 ELSE balance END AS balance, true_market_price, is_high_risk_zone
+          FROM loan l JOIN collateral c ON c.collateral_id = l.collateral_id LEFT JOIN p ON p.loan_id = l.loan_id WHERE p.action IS NULL OR p.action = 'recalc'),
+        t AS (SELECT *, CASE WHEN true_market_price > 0 THEN round(balance / true_market_price, 4) END AS ltv FROM s)
+        SELECT loan_id, balance, ltv, CASE WHEN {_CLS} = '正常' AND is_high_risk_zone = 1 THEN '关注' ELSE {_CLS} END AS risk_class FROM t"""),
+    ),
+    "change_capture": (
+        captured,
+        oracle("image", """WITH g AS (SELECT * FROM image WHERE coalesce(before_json, '') NOT LIKE '{bad%' AND coalesce(after_json, '') <> '[1')
+        SELECT table_name, event_type, count(*) AS n, count(after_json) AS after_images, round(sum(CAST(json_extract_string(after_json, '$.balance') AS DOUBLE)), 2) AS balance, max(strftime(cdc_ts, '%Y-%m-%d %H:%M:%S')) AS last FROM g GROUP BY 1, 2"""),
+    ),
+    "change_json_ends": (
+        json_ends,
+        oracle("image", """WITH g AS (SELECT * FROM image WHERE before_json IS NOT NULL AND before_json NOT LIKE '{bad%'), l AS (
+          SELECT '$.image.loan_id' AS path, json_extract_string(before_json, '$.loan_id') AS value FROM g UNION ALL SELECT '$.image.risk_class', 'old' FROM g UNION ALL SELECT '$.list[0]', '1' FROM g
+          UNION ALL SELECT '$.list[1].city', '广州' FROM g UNION ALL SELECT '$.list[2][0]', 'true' FROM g UNION ALL SELECT '$.list[2][1]', NULL FROM g UNION ALL SELECT '$.plain', 'café' FROM g)
+        SELECT path, value, count(*) AS n FROM l GROUP BY 1, 2"""),
+    ),
     "change_hourly": (
         hourly,
         oracle("change", """SELECT h AS hour, count(id) AS n FROM (SELECT date_trunc('hour', max(cdc_ts)) - to_hours(CAST(i AS INT)) AS h FROM change CROSS JOIN range(24) r(i) GROUP BY i)

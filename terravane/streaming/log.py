@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.operators.merge import one_of_each, replace_keys
+from terravane.sources.files import repaired_text
+from terravane.sources.keyed import KeyedTable
+from terravane.sources.shared import forget, stored
 from terravane.streaming import changes as changes_
 
 BODY = "loan_id int, customer_id int, collateral_id int, balance double, interest_rate double, risk_class string"
@@ -88,25 +91,70 @@ def to_folder(folder: str) -> Callable[[DataFrame, int], None]:
     return lambda df, number: df.write.mode("overwrite").json(f"{folder}/batch={number}")
 
 
-def consume(log: DataFrame, state_path: str, first: DataFrame, loans: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame], summarise: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Stream query that keeps computed loans and their summary up to date with the log.
+def consume(log: DataFrame, state: KeyedTable, loans: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame], summary_path: str, summarise: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """Stream query that keeps computed loans, a keyed table, and their summary up to date with the log.
 
     A batch plans what its events touch, computes those loans anew, deletes the
-    deleted ones and writes state and summary under its own number; a batch
-    that is run again starts from the number before and changes nothing more.
+    deleted ones, rewrites their buckets alone, then the summary of all. A batch
+    that is run again changes nothing.
     """
-    spark = log.sparkSession
-    first.write.mode("overwrite").parquet(f"{state_path}/state/-1")
 
     def batch(df: DataFrame, number: int) -> None:
-        state = spark.read.parquet(f"{state_path}/state/{number - 1}")
         now = loans()
-        changes_.recompute(state, changes_.plan_impact(df, now), now, compute).write.mode("overwrite").parquet(f"{state_path}/state/{number}")
-        summarise(spark.read.parquet(f"{state_path}/state/{number}")).write.mode("overwrite").parquet(f"{state_path}/summary/{number}")
+        plan = stored(changes_.plan_impact(df, now), "plan")
+        wanted = now.join(plan.where("action = 'recalc'"), state.key, "left_semi")
+        version = state.apply(compute(wanted), plan.where("action = 'delete'").select(state.key), number)
+        summarise(state.read(version)).write.mode("overwrite").parquet(f"{summary_path}/{number}")
+        state.clean()
+        forget(plan)
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def leaves(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, value): what stands at the ends of each row's JSON, of any depth, with strings repaired that were read in the wrong encoding.
+
+    Numbers and booleans are given as JSON writes them, null as null; an empty
+    object or list has no ends; text that is no JSON is one itself, at ``$``.
+    Each round opens one level of all rows, so there are as many rounds as the
+    deepest row has levels.
+    """
+    spark = rows.sparkSession
+    whole = rows.select(key, F.lit("$").alias("path"), F.try_parse_json(text).alias("v"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+
+    def ends(df: DataFrame) -> DataFrame:
+        said = F.when(kind == "STRING", repaired_text(F.try_variant_get("v", "$", "string"))).otherwise(F.to_json("v"))
+        return df.where(~kind.isin("OBJECT", "ARRAY")).select(key, "path", F.when(kind != "VOID", said).alias("value"))
+
+    out = whole.where("v is null").select(key, "path", repaired_text(F.col("_text")).alias("value"))
+    level = stored(whole.where("v is not null").select(key, "path", "v"), "level")
+    while True:
+        out = out.unionByName(ends(level))
+        inner = level.where(kind.isin("OBJECT", "ARRAY"))
+        if not inner.limit(1).count():
+            return out
+        opened = spark.sql("SELECT r.*, e.pos, e.key AS _key, e.value AS _value FROM {inner} AS r, LATERAL variant_explode(r.v) AS e", inner=inner)
+        step = F.coalesce(F.concat(F.lit("."), repaired_text(F.col("_key"))), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = stored(opened.select(key, F.concat("path", step).alias("path"), F.col("_value").alias("v")), "level")
+
+
+def capture(source: DataFrame, positions: KeyedTable, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """Stream query that gives the changes of a log (file, pos, ...) to ``sink``, and then writes how far it came.
+
+    The data is there before the position is: after a crash a batch is given
+    again, under its number, and none is lost. ``positions`` has repl_key, file, pos.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        sink(df, number)
+        top = df.agg(F.max(F.struct("file", "pos")).alias("at")).where("at is not null")
+        top = top.select(F.lit("binlog").alias("repl_key"), "at.file", "at.pos")
+        positions.apply(top, top.limit(0), number)
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ahead(file_a: Column, pos_a: Column, file_b: Column, pos_b: Column) -> Column:
     """Whether log position a is past b: by file name, then by place in the file."""
     return F.struct(file_a.alias("f"), pos_a.cast("long").alias("p")) > F.struct(file_b.alias("f"), pos_b.cast("long").alias("p"))
