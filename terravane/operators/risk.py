@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
+from terravane.operators.selection import percentiles
 
 
 def unit_prices(listings: DataFrame, least: int = 20) -> DataFrame:
     """Median unit price of each (city, community) with ``least`` listings or more."""
     known = listings.where("city is not null and community is not null and community <> '' and unit_price > 0")
-    grouped = known.groupBy("city", "community").agg(F.median("unit_price").alias("median_price"), F.count("*").alias("samples"))
-    return grouped.where(F.col("samples") >= least)
+    grouped = percentiles(known, ["city", "community"], "unit_price", median_price=0.5).withColumnRenamed("n", "samples")
+    return grouped.where(F.col("samples") >= least).select("city", "community", "median_price", "samples")
 
 
 def with_market_value(collateral: DataFrame, prices: DataFrame, cities: dict[str, str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
+from terravane.operators.selection import medians
 from terravane.sources.shared import stored
 
 #: Degrees of a zone's side, least listings and loans of a zone, and the share below the city's median.
@@ -102,7 +103,7 @@ def build_report(**tables: DataFrame) -> DataFrame:
 
 def price_zones(points: DataFrame, side: float = GRID, least: int = LEAST_PRICES) -> DataFrame:
     """Cells of a city with enough listings: median price, centre, deviation from the city, and whether it is low."""
-    cities = points.groupBy("city").agg(F.median("unit_price").alias("city_median"))
+    cities = medians(points, ["city"], "unit_price", "city_median")
     cells = points.groupBy("city", _cell(F.col("lng"), side).alias("gx"), _cell(F.col("lat"), side).alias("gy")).agg(
         F.count("*").alias("samples"), F.median("unit_price").alias("median_price"), F.round(F.avg("lat"), 6).alias("center_lat"), F.round(F.avg("lng"), 6).alias("center_lng")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
 from terravane.operators.merge import one_of_each, upsert
+from terravane.operators.selection import medians
 
 #: Numbers of which a zero says nothing, and those of which it does.
 ZERO_IS_NULL = ("area", "total_price", "unit_price", "monthly_rent", "building_year", "lat", "lng")
@@ -58,13 +59,15 @@ def retention(listings: DataFrame) -> DataFrame:
 
 
 def city_stats(listings: DataFrame) -> DataFrame:
-    return listings.groupBy("city").agg(
+    means = listings.groupBy("city").agg(
         F.count("*").alias("n"),
         F.round(F.avg("unit_price"), 2).alias("avg_price"),
-        F.round(F.median("unit_price"), 2).alias("median_price"),
         F.round(F.avg("area"), 2).alias("avg_area"),
         F.round(F.try_divide(C.money(F.col("total_price")), F.count("total_price")), 2).alias("avg_total"),
     )
+    middle = medians(listings, ["city"], "unit_price", "_m").withColumnRenamed("city", "_city")
+    out = means.join(middle, F.col("city").eqNullSafe(F.col("_city")), "left")
+    return out.select("city", "n", "avg_price", F.round("_m", 2).alias("median_price"), "avg_area", "avg_total")
 
 
 def count_checks(**tables: DataFrame) -> DataFrame:
