@@ -113,6 +113,29 @@ def price_zones(points: DataFrame, side: float = GRID, least: int = LEAST_PRICES
     return out.select(zone.alias("zone_id"), "city", "center_lat", "center_lng", "samples", "median_price", F.round(F.try_divide("median_price", "city_median") - 1, 4).alias("deviation"), low.cast("int").alias("is_high_risk_zone"))
 
 
+ZONE_TYPES = ("price", "ltv")
+
+
+def overview(zones: DataFrame, city: str | None = None, zone_type: str | None = None) -> DataFrame:
+    """(level, city, zone_type, zones, high_risk, samples, picked, picked_high, picked_samples): a page's figures in one scan of its zones.
+
+    One row for all zones, one for each city and one for each kind in a city.
+    The first three figures are of all zones whatever is asked for, as the
+    cross-check and the list of cities need them; the ``picked`` ones are of the
+    zones that fit ``city`` and ``zone_type``, either of which may be open.
+    ``zones``: city, zone_type, sample_count, is_high_risk_zone.
+    """
+    if zone_type is not None and zone_type not in ZONE_TYPES:
+        raise ValueError(f"zone_type is one of {', '.join(ZONE_TYPES)}, not {zone_type}")
+    fits = (F.col("city") == city if city is not None else F.lit(True)) & (F.col("zone_type") == zone_type if zone_type is not None else F.lit(True))
+    high = F.col("is_high_risk_zone") == 1
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    figures = {"zones": F.count("*"), "high_risk": F.count_if(high), "samples": total("sample_count"), "picked": F.count_if(fits), "picked_high": F.count_if(fits & high), "picked_samples": total(F.when(fits, F.col("sample_count")))}
+    level = F.element_at(F.array(*map(F.lit, ("kind", "city", "all"))), F.grouping("city").cast("int") + F.grouping("zone_type").cast("int") + 1)
+    sets = [[F.col("city"), F.col("zone_type")], [F.col("city")], []]
+    return zones.groupingSets(sets, "city", "zone_type").agg(level.alias("level"), *[c.alias(n) for n, c in figures.items()]).select("level", "city", "zone_type", *figures)
+
+
 def collateral_ltv(loans: DataFrame, collateral: DataFrame) -> DataFrame:
     """Collateral with the sum of its loans over its price; null without loans or a price."""
     owed = loans.groupBy("collateral_id").agg(C.money(F.col("balance")).alias("_owed"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from terravane.operators import ledger as L
 from terravane.plans.ledger import _A, _alerts
+from terravane.plans.risk import BASE, ENRICHED, enriched
 from terravane.plans.warehouse import LATEST, _latest
 from terravane.sources import files as S
+from terravane.sources import outputs as O
 from terravane.sources.adapter import CITIES, oracle, view, views
 from terravane.sources.shared import shared_path, stored
 
@@ -89,6 +91,66 @@ def layers(spark, sf_dir):
     return S.strict_load(rows, ods, "ods").unionByName(S.strict_load(ods.where("city <> 'gz'"), dwd, "dwd"))
 
 
+def refilled(spark, sf_dir):
+    """Layers that were emptied and filled, one of them by a load that failed and left it as it was."""
+    rows = _latest(spark, sf_dir).select("url_key", "city")
+    ods, dwd = shared_path(spark, "ods"), shared_path(spark, "dwd")
+    first = O.refill(rows.where("city = 'gz'"), ods, "ods")
+    whole = O.refill(rows, ods, "ods")
+    O.refill(spark.read.parquet(ods).where("city <> 'gz'"), dwd, "dwd")
+    try:
+        O.refill(rows, dwd, "dwd", expected=whole + 1)
+        said = "no failure"
+    except RuntimeError as e:
+        said = str(e).split(":")[0]
+    layer = lambda name, path: spark.read.parquet(path).agg(F.lit(name).alias("layer"), F.count("*").alias("n"), F.count_if(F.col("city") == "gz").alias("gz"), F.lit(said).alias("failed"))
+    return layer("ods", ods).unionByName(layer("dwd", dwd)).unionByName(spark.range(1).select(F.lit("first").alias("layer"), F.lit(first).cast("long").alias("n"), F.lit(first).cast("long").alias("gz"), F.lit(said).alias("failed")))
+
+
+def object_snapshot(spark, sf_dir):
+    """What an object store holds after two days' uploads: the second day's rows only."""
+    ads = view(spark, sf_dir, "ad").select("ad_id", "city", F.when(F.col("load_no") % 3 == 0, "rent").otherwise("sale").alias("type"), F.when(F.col("load_no") % 2 == 0, "2026-05-01").otherwise("2026-05-02").alias("dt"))
+    target = shared_path(spark, "objects")
+    O.upload(ads, "2026-05-01", target)
+    O.upload(ads, "2026-05-02", target)
+    return spark.read.parquet(target).groupBy("type", "city").agg(F.count("*").alias("n"), F.max("ad_id").alias("last"))
+
+
+def daily_snapshot(spark, sf_dir):
+    """Snapshots of three days, the second of which was written twice."""
+    state = enriched(spark, sf_dir).select("loan_id", "balance", "risk_class")
+    state, path = stored(state, "state"), shared_path(spark, "snapshots")
+    for day, share in (("2026-05-01", 1), ("2026-05-02", 2), ("2026-05-03", 3), ("2026-05-02", 4)):
+        O.keep_day(state.where(F.col("loan_id") % share == 0), path, F.lit(day), F.lit(day))
+    return spark.read.parquet(path).groupBy("snap_date", "risk_class").agg(F.count("*").alias("n"), F.sum("is_demo").alias("demo"))
+
+
+def report_outputs(spark, sf_dir):
+    """Lines of the class report's CSV and figures of its JSON, the second with a failed check."""
+    from terravane.operators import reporting
+
+    report = stored(reporting.report(enriched(spark, sf_dir)), "report")
+    folder = shared_path(spark, "reports")
+    none = report.select(F.lit("").alias("mismatch")).limit(0)
+    csv, text = O.report_files(report, folder, "2026-05-01", none)
+    _, failed = O.report_files(report, folder, "2026-05-02", report.where("is_total = 1").select(F.lit("total").alias("mismatch")))
+    lines = spark.read.text(csv).select(F.when(F.col("value").startswith("risk_class"), F.col("value")).otherwise(F.regexp_extract("value", "^([^,]*,[^,]*),", 1)).alias("line"))
+    for path in (text, failed):
+        doc = spark.read.json(path)
+        lines = lines.unionByName(doc.select(F.concat_ws("|", "date", "status", F.array_join("mismatches", ","), F.size("rows").cast("string")).alias("line")))
+        lines = lines.unionByName(doc.select(F.explode("rows").alias("r")).select(F.concat_ws("|", "r.risk_class", F.col("r.loan_count").cast("string"), F.format_string("%.2f", "r.balance_pct_percent")).alias("line")))
+    return lines
+
+
+def dispatch_outputs(spark, sf_dir):
+    """The ledger's CSV of one day, and the summary of its JSON."""
+    loans = view(spark, sf_dir, "loan").select("loan_id", F.col("origination_date").alias("alert_date"), F.date_add("origination_date", 1).alias("dispatch_date"), F.when(F.col("loan_id") % 2 == 0, "success").otherwise("failed").alias("status"), (F.col("loan_id") % 3 + 1).alias("attempt_count"))
+    day = str(loans.agg(F.mode("alert_date", True)).first()[0])
+    summary = loans.where(F.col("alert_date") == day).agg(F.count("*").alias("sent"), F.count_if(F.col("status") == "failed").alias("failed"))
+    csv, text = O.dispatch_files(loans, shared_path(spark, "dispatch"), day, summary)
+    return spark.read.text(csv).select(F.col("value").alias("line")).distinct().unionByName(spark.read.json(text).select(F.concat_ws("|", "date", F.col("sent").cast("string"), F.col("failed").cast("string")).alias("line")))
+
+
 def masked_csv(spark, sf_dir):
     """The alert export as CSV lines, its header included."""
     a = _alerts(spark, sf_dir).join(view(spark, sf_dir, "loan").select("loan_id", "collateral_id"), "loan_id").join(view(spark, sf_dir, "collateral").select("collateral_id", F.concat(F.lit("a,"), "property_addr").alias("property_addr")), "collateral_id")
@@ -128,7 +190,31 @@ _KIND = "CASE WHEN load_no % 4 = 2 THEN 'sale' ELSE 'rent' END"
 _GOOD = "load_no % 4 <> 3 AND load_no % 37 <> 0 AND load_no % 41 <> 0 AND load_no % 31 <> 0"
 _KEYED = "(SELECT *, 'sale:anjuke:' || regexp_extract(url, 'view/([A-Za-z0-9]+)', 1) AS k, CASE WHEN load_no % 2 = 0 THEN 'sale' ELSE 'rent' END AS kind FROM ad)"
 
+_PCT = "printf('%.2f', round(pct * 100, 2))"
 QUERIES = {
+    "files_refilled": (
+        refilled,
+        oracle("listing", f"""WITH r AS ({LATEST}) SELECT 'ods' AS layer, count(*) AS n, count(*) FILTER (city = 'gz') AS gz, 'dwd' AS failed FROM r UNION ALL SELECT 'dwd', count(*), 0, 'dwd' FROM r WHERE city <> 'gz' UNION ALL SELECT 'first', count(*), count(*), 'dwd' FROM r WHERE city = 'gz'"""),
+    ),
+    "files_object_snapshot": (object_snapshot, oracle("ad", "SELECT CASE WHEN load_no % 3 = 0 THEN 'rent' ELSE 'sale' END AS type, city, count(*) AS n, max(ad_id) AS last FROM ad WHERE load_no % 2 <> 0 GROUP BY 1, 2")),
+    "migration_daily_snapshot": (
+        daily_snapshot,
+        oracle(BASE, f"WITH e AS (SELECT loan_id, risk_class FROM ({ENRICHED})) SELECT CAST(day AS DATE) AS snap_date, risk_class, count(*) AS n, CAST(0 AS BIGINT) AS demo FROM e JOIN (VALUES ('2026-05-01', 1), ('2026-05-02', 4), ('2026-05-03', 3)) v(day, share) ON loan_id % share = 0 GROUP BY 1, 2"),
+    ),
+    "report_files": (
+        report_outputs,
+        oracle(BASE, f"""WITH e AS (SELECT risk_class, count(*) AS n, CAST(sum(CAST(balance AS DECIMAL(18,2))) AS DOUBLE) AS b FROM ({ENRICHED}) GROUP BY 1),
+        f AS (SELECT v.c, coalesce(n, 0) AS n, coalesce(b, 0) AS b FROM (VALUES ('正常'), ('关注'), ('次级'), ('可疑'), ('损失')) v(c) LEFT JOIN e ON e.risk_class = v.c),
+        t AS (SELECT c, n, b, round(b / sum(b) OVER (), 4) AS pct FROM f UNION ALL SELECT '合计', sum(n), sum(b), 1 FROM f)
+        SELECT 'risk_class,loan_count,balance,balance_pct' AS line UNION ALL SELECT CAST(c AS VARCHAR) || ',' || CAST(CAST(n AS BIGINT) AS VARCHAR) FROM t
+        UNION ALL SELECT c || '|' || CAST(CAST(n AS BIGINT) AS VARCHAR) || '|' || {_PCT} FROM t JOIN range(2) ON true UNION ALL SELECT '2026-05-01|ok||6' UNION ALL SELECT '2026-05-02|blocked|total|6'"""),
+    ),
+    "files_dispatch": (
+        dispatch_outputs,
+        oracle("loan", """WITH d AS (SELECT origination_date AS day, count(*) AS n, count(*) FILTER (loan_id % 2 <> 0) AS failed FROM loan GROUP BY 1 ORDER BY n DESC, day LIMIT 1)
+        SELECT 'loan_id,alert_date,dispatch_date,status,attempt_count' AS line UNION ALL SELECT DISTINCT CAST(loan_id AS VARCHAR) || ',' || CAST(day AS VARCHAR) || ',' || CAST(CAST(day + INTERVAL 1 DAY AS DATE) AS VARCHAR) || ',' || CASE WHEN loan_id % 2 = 0 THEN 'success' ELSE 'failed' END || ',' || CAST(loan_id % 3 + 1 AS VARCHAR)
+        FROM loan JOIN d ON day = origination_date UNION ALL SELECT CAST(day AS VARCHAR) || '|' || CAST(n AS VARCHAR) || '|' || CAST(failed AS VARCHAR) FROM d"""),
+    ),
     "files_scan": (scanned, oracle("ad", f"SELECT city, {_KIND} AS kind, count(*) AS n, round(sum(unit_price), 2) AS price FROM ad WHERE {_GOOD} GROUP BY 1, 2")),
     "files_incremental": (incremental, oracle("ad", "SELECT 'gz' AS city, true AS backfill, CAST(0 AS BIGINT) AS again FROM ad LIMIT 1")),
     "files_lake": (

@@ -83,7 +83,20 @@ def _waves(v: str, *terms) -> str:
     return "(" + " + ".join(f"{a} * sin({v} * pi() * {w})" for a, w in terms) + ") * 2 / 3.0::DOUBLE"
 
 
+def overview(spark, sf_dir):
+    """Figures of the overview page for the price zones of one city, beside those of all."""
+    n = F.col("place_id")
+    zones = view(spark, sf_dir, "place").select("city", F.when(n % 2 == 0, "price").otherwise("ltv").alias("zone_type"), (n % 40).alias("sample_count"), (n % 7 == 0).cast("int").alias("is_high_risk_zone"))
+    return spatial.overview(zones, "gz", "price")
+
+
 QUERIES = {
+    "spatial_overview": (
+        overview,
+        oracle("place", """WITH z AS (SELECT city, CASE WHEN place_id % 2 = 0 THEN 'price' ELSE 'ltv' END AS zone_type, place_id % 40 AS s, place_id % 7 = 0 AS high, city = 'gz' AND place_id % 2 = 0 AS fits FROM place)
+        SELECT CASE WHEN grouping(city) = 1 THEN 'all' WHEN grouping(zone_type) = 1 THEN 'city' ELSE 'kind' END AS level, city, zone_type, count(*) AS zones, count(*) FILTER (high) AS high_risk, CAST(sum(s) AS BIGINT) AS samples,
+        count(*) FILTER (fits) AS picked, count(*) FILTER (fits AND high) AS picked_high, CAST(coalesce(sum(s) FILTER (fits), 0) AS BIGINT) AS picked_samples FROM z GROUP BY GROUPING SETS ((city, zone_type), (city), ())"""),
+    ),
     "spatial_price_zones": (
         price_zones,
         oracle("place", """SELECT printf('price-%s-%.2f-%.2f', g.city, gx * 0.2::DOUBLE, gy * 0.2::DOUBLE) AS zone_id, g.city, round(la, 6) AS center_lat, round(ln, 6) AS center_lng, samples, m AS median_price,
