@@ -22,7 +22,7 @@ def _lines(spark, sf_dir):
     n = F.col("load_no")
     kind = F.when(n % 4 == 0, "rent").when(n % 4 == 1, "fangyuan").when(n % 4 == 2, "sale").otherwise("other")
     good = F.to_json(F.struct("url", "title", "unit_price", F.lit("x").alias("_source")))
-    line = F.when(n % 37 == 0, F.lit("{bad json")).when(n % 41 == 0, F.lit("")).otherwise(good)
+    line = F.when(n % 37 == 0, F.lit("{bad json")).when(n % 41 == 0, F.lit("")).when(n % 43 == 0, F.lit('{"_source": "y"}')).when(n % 47 == 0, F.lit('{"url": "u", "unit_price": "abc"}')).otherwise(good)
     path = shared_path(spark, "lines")
     city = F.when(n % 31 == 0, "atlantis").otherwise(F.col("city"))
     ads.select(line.alias("value"), F.concat_ws("_", city, kind).alias("task")).write.partitionBy("task").text(path)
@@ -215,7 +215,7 @@ QUERIES = {
         SELECT 'loan_id,alert_date,dispatch_date,status,attempt_count' AS line UNION ALL SELECT DISTINCT CAST(loan_id AS VARCHAR) || ',' || CAST(day AS VARCHAR) || ',' || CAST(CAST(day + INTERVAL 1 DAY AS DATE) AS VARCHAR) || ',' || CASE WHEN loan_id % 2 = 0 THEN 'success' ELSE 'failed' END || ',' || CAST(loan_id % 3 + 1 AS VARCHAR)
         FROM loan JOIN d ON day = origination_date UNION ALL SELECT CAST(day AS VARCHAR) || '|' || CAST(n AS VARCHAR) || '|' || CAST(failed AS VARCHAR) FROM d"""),
     ),
-    "files_scan": (scanned, oracle("ad", f"SELECT city, {_KIND} AS kind, count(*) AS n, round(sum(unit_price), 2) AS price FROM ad WHERE {_GOOD} GROUP BY 1, 2")),
+    "files_scan": (scanned, oracle("ad", f"SELECT city, {_KIND} AS kind, count(*) AS n, round(sum(CASE WHEN load_no % 43 <> 0 AND load_no % 47 <> 0 THEN unit_price END), 2) AS price FROM ad WHERE {_GOOD} GROUP BY 1, 2")),
     "files_incremental": (incremental, oracle("ad", "SELECT 'gz' AS city, true AS backfill, CAST(0 AS BIGINT) AS again FROM ad LIMIT 1")),
     "files_lake": (
         lake,

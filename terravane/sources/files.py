@@ -32,7 +32,10 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_lines(spark: SparkSession, paths: str | list[str], schema: str, cities: list[str]) -> DataFrame:
-    """Rows of JSON-line files with their task (city, kind) and place; bad lines and files of other names are left out.
+    """Rows of JSON-line files with their task (city, kind) and place; bad lines, blank ones and files of other names are left out.
+
+    An object without any of the fields is a row of nulls; a value of another
+    type than its field is null.
 
     ``kind`` is sale or rent; ``_file`` and ``_line`` order rows as they stand in the files.
     """
@@ -42,8 +45,9 @@ def scan_lines(spark: SparkSession, paths: str | list[str], schema: str, cities:
     tagged = lines.select("*", place.alias("_file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("_line"))
     city, kind = F.regexp_extract("_file", _TASK, 1), F.regexp_extract("_file", _TASK, 2)
     tagged = tagged.withColumns({"_city": city, "_kind": F.when(kind == "sale", "sale").otherwise("rent")}).where((kind != "") & F.col("_city").isin(cities))
-    some = F.coalesce(*[F.col(c).cast("string") for c in kinds.names]).isNotNull()
-    return tagged.where(F.col("_bad").isNull() & some).drop("_bad").withColumnsRenamed({"_city": "city", "_kind": "kind"})
+    # a field of another type makes a line bad for the reader; if it is an object all the same, its other fields count
+    sound = F.col("_bad").isNull() | F.coalesce(F.schema_of_variant(F.try_parse_json("_bad")).startswith("OBJECT"), F.lit(False))
+    return tagged.where(sound).drop("_bad").withColumnsRenamed({"_city": "city", "_kind": "kind"})
 
 
 def first_of_each_url(rows: DataFrame) -> DataFrame:
