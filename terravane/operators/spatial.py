@@ -1,4 +1,4 @@
-"""Spatial joins and zones. Radius and nearest-neighbour joins are equi-joins on grid cells."""
+"""Spatial joins and zones. Radius and nearest-neighbour joins are equi-joins on grid cells; where cells are dense, :mod:`tree` answers instead."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import columns as C
+from terravane.operators import tree
 from terravane.operators.selection import medians
 from terravane.sources.shared import stored
 
@@ -40,12 +41,26 @@ def within(queries: DataFrame, points: DataFrame, radius_km: float) -> DataFrame
     return near.drop("_cx", "_cy", "q_east_km", "q_north_km", "p_east_km", "p_north_km")
 
 
+#: Most pairs of the 3 x 3 cells around queries that are formed by a join; beyond, neighbourhoods go through the tree.
+PAIRS = 20_000_000
+
+
+def _few_pairs(queries: DataFrame, points: DataFrame, radius_km: float) -> bool:
+    """Whether ``within`` would form ``PAIRS`` pairs at most, counted by cell; both ways give one result."""
+    sizes = [_projected(df, radius_km).groupBy("_cx", "_cy").agg(F.count("*").cast("double").alias(n)) for df, n in ((queries, "_q"), (points, "_p"))]
+    pairs = sizes[0].join(sizes[1], ["_cx", "_cy"]).agg(F.sum(F.col("_q") * F.col("_p"))).first()[0]
+    return 9 * (pairs or 0) <= PAIRS
+
+
 def neighbourhood_median(queries: DataFrame, points: DataFrame, key: str, value: str, radius_km: float = 5.0, least: int = 5, other_than_self: bool = True) -> DataFrame:
     """Median of the points around each query, null with fewer than ``least``."""
-    near = within(queries.select(key, "lat", "lng"), points.select(key, "lat", "lng", value), radius_km)
-    if other_than_self:
-        near = near.where(F.col(f"q_{key}") != F.col(f"p_{key}"))
-    found = near.groupBy(F.col(f"q_{key}").alias(key)).agg(F.count("*").alias("_n"), F.median(f"p_{value}").alias("_m"))
+    if _few_pairs(queries, points, radius_km):
+        near = within(queries.select(key, "lat", "lng"), points.select(key, "lat", "lng", value), radius_km)
+        if other_than_self:
+            near = near.where(F.col(f"q_{key}") != F.col(f"p_{key}"))
+        found = near.groupBy(F.col(f"q_{key}").alias(key)).agg(F.count("*").alias("_n"), F.median(f"p_{value}").alias("_m"))
+    else:
+        found = tree.neighbourhood_median(queries, points, key, value, radius_km, other_than_self).select(key, F.col("n").alias("_n"), F.col("median").alias("_m"))
     out = queries.select(key).join(found, key, "left")
     return out.select(key, F.coalesce("_n", F.lit(0)).alias("neighbours"), F.when(F.col("_n") >= least, F.col("_m")).alias("neighbourhood"))
 
@@ -55,7 +70,8 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, start_km: f
 
     The radius doubles until every query has k within it, so what is found is
     exact; queries that are done leave after each round, and what a round found
-    is written, so that no round does the work of those before it.
+    is written, so that no round does the work of those before it. As soon as a
+    round would form many pairs, the queries left go through the tree.
     """
     todo, done, radius = queries.select(key, "lat", "lng"), None, start_km
     total = points.count()
@@ -63,6 +79,9 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, start_km: f
         return queries.select(key, F.lit(0).alias("neighbour"), F.lit(0.0).alias("km"), F.lit(1).alias("rank")).where("false")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("km", 9), "neighbour"))
     while True:
+        if not _few_pairs(todo, points, radius):
+            rest = tree.nearest(todo, points, key, k, drop_self).select(key, "neighbour", "km", "rank")
+            return rest if done is None else done.unionByName(rest)
         near = within(todo, points.select(key, "lat", "lng"), radius)
         if drop_self:
             near = near.where(F.col(f"q_{key}") != F.col(f"p_{key}"))
@@ -153,10 +172,17 @@ def ltv_zones(valued: DataFrame, side: float = GRID, least: int = LEAST_LTVS) ->
 
 def poi_density(queries: DataFrame, points: DataFrame, key: str, radius_km: float = 2.0, coverage_km: float = 20.0) -> DataFrame:
     """Points for each square kilometre around; null only if none lies within ``coverage_km``."""
-    near = within(queries.select(key, "lat", "lng"), points.select("lat", "lng"), radius_km).groupBy(F.col(f"q_{key}").alias(key)).agg(F.count("*").alias("_n"))
+    if _few_pairs(queries, points, radius_km):
+        near = within(queries.select(key, "lat", "lng"), points.select("lat", "lng"), radius_km).groupBy(F.col(f"q_{key}").alias(key)).agg(F.count("*").alias("_n"))
+    else:
+        near = queries.select(key, "lat", "lng").join(tree.counts(queries, points, radius_km), ["lat", "lng"]).select(key, F.col("n").alias("_n"))
     # whether anything lies within the coverage is asked only of queries that found nothing
     lone = queries.select(key, "lat", "lng").join(near, key, "left_anti")
-    covered = within(lone, points.select("lat", "lng"), coverage_km).select(F.col(f"q_{key}").alias(key)).distinct().withColumn("_n", F.lit(0))
+    if _few_pairs(queries, points, coverage_km):
+        covered = within(lone, points.select("lat", "lng"), coverage_km).select(F.col(f"q_{key}").alias(key)).distinct()
+    else:
+        covered = lone.join(tree.counts(lone, points, coverage_km), ["lat", "lng"]).select(key)
+    covered = covered.withColumn("_n", F.lit(0))
     found = near.unionByName(covered)
     return queries.select(key).join(found, key, "left").select(key, (F.col("_n") / F.lit(math.pi * radius_km**2)).alias("poi_density"))
 
