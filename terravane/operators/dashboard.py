@@ -39,8 +39,8 @@ def npl_groups(rows: DataFrame, *by: str) -> DataFrame:
     return out.withColumns({"npl_rate": C.share(F.col("npl_loans").cast("double"), F.col("loans").cast("double")), "npl_balance_rate": C.share(F.col("npl_balance"), F.col("balance"))})
 
 
-def policy_impact(loans: DataFrame, zones: DataFrame, cap: float, radius_km: float = 5.0) -> DataFrame:
-    """For each zone: loans within its radius (great circle, R = 6371.0 km), those over the cap, and which of these are alerted already.
+def _in_zones(zones: DataFrame, loans: DataFrame, radius_km: float) -> DataFrame:
+    """Pairs of a zone and a loan within its radius (great circle, R = 6371.0 km): q_zone_id and the loan's columns as p_.
 
     Zones and loans meet by grid cell, so the join grows with neighbourhoods,
     not with loans times zones; the flat distance only picks candidates.
@@ -50,7 +50,42 @@ def policy_impact(loans: DataFrame, zones: DataFrame, cap: float, radius_km: flo
     at = loans.withColumns({"at_lat": F.col("lat"), "at_lng": F.col("lng")})
     spots = zones.select("zone_id", F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), F.col("center_lat").alias("at_lat"), F.col("center_lng").alias("at_lng"))
     pairs = within(spots, at, radius_km * 1.05)
-    pairs = pairs.where(C.haversine_km(F.col("q_at_lat"), F.col("q_at_lng"), F.col("p_at_lat"), F.col("p_at_lng"), 6371.0) <= radius_km)
+    return pairs.where(C.haversine_km(F.col("q_at_lat"), F.col("q_at_lng"), F.col("p_at_lat"), F.col("p_at_lng"), 6371.0) <= radius_km)
+
+
+def policy_list(policies: DataFrame, loans: DataFrame, zones: DataFrame, radius_km: float = 5.0) -> DataFrame:
+    """Policies with the loans in their scope, those they hit and which of these are new or of low confidence; enabled and newest first.
+
+    A city's policy covers the loans of the city, a zone's those within the
+    radius of its centre; a scope has one policy. A policy without a cap hits all
+    loans that have a ratio; loans without one are in scope and never hit. A
+    policy whose zone is not there, or that covers nothing, has zeros.
+    """
+    facts = loans.select("city", "lat", "lng", "ltv", F.col("low_confidence").alias("low"))
+    cities = facts.select(F.lit("city").alias("scope_type"), F.col("city").alias("scope_value"), "ltv", "low").where("scope_value is not null")
+    asked = zones.join(policies.where("scope_type = 'zone'").select(F.col("scope_value").alias("zone_id")), "zone_id", "left_semi")
+    near = _in_zones(asked, facts, radius_km).select(F.lit("zone").alias("scope_type"), F.col("q_zone_id").alias("scope_value"), F.col("p_ltv").alias("ltv"), F.col("p_low").alias("low"))
+    scope = ["scope_type", "scope_value"]
+    hit = F.col("ltv").isNotNull() & (F.col("ltv_cap").isNull() | (F.col("ltv") > F.col("ltv_cap")))
+    sums = cities.unionByName(near).join(policies.select(*scope, "ltv_cap"), scope).groupBy(*scope).agg(
+        F.count("*").alias("in_scope"), F.count_if(hit).alias("hit"), F.count_if(hit & (F.col("ltv") <= C.RED)).alias("newly_hit"), F.count_if(hit & F.col("low")).alias("low_confidence")
+    )
+    figures = ("in_scope", "hit", "newly_hit", "low_confidence")
+    out = policies.join(sums, scope, "left").orderBy(F.desc("enabled"), F.desc("updated_at"), F.desc("policy_id"))
+    return out.select(*policies.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in figures])
+
+
+def zone_cover(zones: DataFrame, loans: DataFrame, radius_km: float = 5.0) -> DataFrame:
+    """Zones with the number and balance of the loans around them: high-risk zones first, then those that cover most."""
+    near = _in_zones(zones, loans.select("lat", "lng", "balance"), radius_km).groupBy(F.col("q_zone_id").alias("zone_id")).agg(F.count("*").alias("loans"), C.money(F.col("p_balance")).alias("balance"))
+    out = zones.select("zone_id", "city", "is_high_risk_zone").join(near, "zone_id", "left")
+    out = out.select("zone_id", "city", "is_high_risk_zone", F.coalesce("loans", F.lit(0)).alias("loans"), F.coalesce("balance", F.lit(0.0)).alias("balance"))
+    return out.orderBy(F.desc("is_high_risk_zone"), F.desc("loans"), "zone_id")
+
+
+def policy_impact(loans: DataFrame, zones: DataFrame, cap: float, radius_km: float = 5.0) -> DataFrame:
+    """For each zone: loans within its radius, those over the cap, and which of these are alerted already."""
+    pairs = _in_zones(zones, loans, radius_km)
     hit = F.col("p_ltv") > cap
     return pairs.groupBy(F.col("q_zone_id").alias("zone_id")).agg(
         F.count("*").alias("in_scope"),

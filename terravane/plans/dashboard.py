@@ -63,6 +63,24 @@ def policy(spark, sf_dir):
     return dashboard.policy_impact(rows, spatial.price_zones(view(spark, sf_dir, "place"), side=0.2, least=3), 0.7)
 
 
+def policy_list(spark, sf_dir):
+    """Policies of all cities and price zones, some without a cap, and one of a zone that is not there."""
+    places = view(spark, sf_dir, "place")
+    zones = stored(spatial.price_zones(places, side=0.2, least=3), "zones")
+    cities = places.groupBy("city").agg(F.count("*").alias("n")).select(F.lit("city").alias("scope_type"), F.col("city").alias("scope_value"), "n")
+    scopes = zones.select(F.lit("zone").alias("scope_type"), F.col("zone_id").alias("scope_value"), F.col("samples").alias("n")).unionByName(cities)
+    n = F.col("n")
+    lost = F.when((F.col("scope_type") == "zone") & (n % 11 == 0), F.concat("scope_value", F.lit("-gone"))).otherwise(F.col("scope_value"))
+    cap = F.when(n % 3 != 0, (n % 5 + 5) / 10)
+    policies = scopes.select(n.alias("policy_id"), "scope_type", lost.alias("scope_value"), cap.alias("ltv_cap"), (n % 2).alias("enabled"), (n % 7).alias("updated_at"))
+    return dashboard.policy_list(policies, _wide(spark, sf_dir), zones)
+
+
+def policy_zones(spark, sf_dir):
+    zones = spatial.price_zones(view(spark, sf_dir, "place"), side=0.2, least=3)
+    return dashboard.zone_cover(zones, _wide(spark, sf_dir))
+
+
 def policy_rows(spark, sf_dir):
     """The worst loans that a city's cap would hit."""
     rows = _wide(spark, sf_dir).where("city = 'gz' and ltv > 0.7")
@@ -142,6 +160,10 @@ def _case(col, bounds):
 _E = f"WITH e AS ({ENRICHED})"
 _AL = f"""{_E}, al AS (SELECT loan_id, 'batch' AS src, ltv, alert_level, origination_date AS alert_date FROM e WHERE alert_level IS NOT NULL
   UNION ALL SELECT loan_id, 'stream', ltv, NULL, origination_date FROM e WHERE alert_level IS NOT NULL AND loan_id % 5 = 0)"""
+_COVER = f"""{_E}, z AS (SELECT printf('price-%s-%.2f-%.2f', g.city, gx * 0.2::DOUBLE, gy * 0.2::DOUBLE) AS zone_id, g.city AS zone_city, n, la, ln, CAST(m <= cm * 0.75 AS INT) AS is_high_risk_zone
+  FROM (SELECT city, floor(lng / 0.2::DOUBLE) AS gx, floor(lat / 0.2::DOUBLE) AS gy, count(*) AS n, median(unit_price) AS m, round(avg(lat), 6) AS la, round(avg(lng), 6) AS ln FROM place GROUP BY 1, 2, 3 HAVING count(*) >= 3) g
+  JOIN (SELECT city, median(unit_price) AS cm FROM place GROUP BY 1) c ON c.city = g.city),
+  k AS (SELECT zone_id, collateral_id FROM z CROSS JOIN collateral WHERE 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lng - ln) / 2), 2))) <= 5)"""
 _BAD = f"({RANK}) BETWEEN 2 AND 4"
 _NPL = f"""count(*) AS loans, CAST(sum(CAST(balance AS DECIMAL(18,2))) AS DOUBLE) AS balance, count(*) FILTER ({_BAD}) AS npl_loans,
   CAST(coalesce(sum(CAST(balance AS DECIMAL(18,2))) FILTER ({_BAD}), 0) AS DOUBLE) AS npl_balance, round(avg(ltv), 4) AS avg_ltv, count(alert_level) AS alerts,
@@ -173,6 +195,20 @@ QUERIES = {
         count(*) FILTER (ltv > 0.7 AND low_confidence) AS low_confidence, CAST(coalesce(sum(CAST(balance AS DECIMAL(18,2))) FILTER (ltv > 0.7), 0) AS DOUBLE) AS hit_balance
         FROM k JOIN e ON e.collateral_id = k.collateral_id GROUP BY 1"""),
     ),
+    "policy_list": (
+        policy_list,
+        oracle(BASE + " place", f"""{_COVER}, p AS (SELECT 'zone' AS scope_type, CASE WHEN n % 11 = 0 THEN zone_id || '-gone' ELSE zone_id END AS scope_value, n FROM z UNION ALL SELECT 'city', city, count(*) FROM place GROUP BY city),
+        c AS (SELECT n AS policy_id, scope_type, scope_value, CASE WHEN n % 3 <> 0 THEN (n % 5 + 5) / 10 END AS ltv_cap, n % 2 AS enabled, n % 7 AS updated_at FROM p),
+        s AS (SELECT 'zone' AS t, zone_id AS v, ltv, low_confidence AS low FROM k JOIN e ON e.collateral_id = k.collateral_id UNION ALL SELECT 'city', city, ltv, low_confidence FROM e),
+        h AS (SELECT t, v, count(*) AS n, count(*) FILTER (x) AS hit, count(*) FILTER (x AND ltv <= 0.85) AS fresh, count(*) FILTER (x AND low) AS low
+          FROM (SELECT s.*, ltv IS NOT NULL AND (ltv_cap IS NULL OR ltv > ltv_cap) AS x FROM s JOIN c ON t = scope_type AND v = scope_value) GROUP BY 1, 2)
+        SELECT c.*, coalesce(n, 0) AS in_scope, coalesce(hit, 0) AS hit, coalesce(fresh, 0) AS newly_hit, coalesce(low, 0) AS low_confidence FROM c LEFT JOIN h ON t = scope_type AND v = scope_value"""),
+    ),
+    "policy_zones": (
+        policy_zones,
+        oracle(BASE + " place", f"""{_COVER} SELECT zone_id, zone_city AS city, is_high_risk_zone, coalesce(n, 0) AS loans, coalesce(b, 0) AS balance
+        FROM (SELECT zone_id, zone_city, is_high_risk_zone FROM z) LEFT JOIN (SELECT zone_id AS i, count(*) AS n, CAST(sum(CAST(balance AS DECIMAL(18,2))) AS DOUBLE) AS b FROM k JOIN e ON e.collateral_id = k.collateral_id GROUP BY 1) ON i = zone_id"""),
+    ),
     "dashboard_policy_rows": (policy_rows, oracle(BASE, f"{_E} SELECT loan_id, ltv, balance, CASE WHEN ltv > 0.85 THEN 'raise' ELSE 'new' END AS change FROM e WHERE city = 'gz' AND ltv > 0.7 ORDER BY ltv DESC, loan_id LIMIT 50")),
     "dashboard_tiers": (
         valuation_tiers,
