@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.functions import columns as C
 from terravane.operators.merge import delete_keys, one_of_each, replace_keys, upsert
 
 LOAN_DAY = ["loan_id", "alert_date"]
@@ -247,5 +248,33 @@ def acceptance(days: DataFrame, wanted_days: int) -> DataFrame:
     return days.agg(F.count("*").alias("days"), F.round(F.count("*") / wanted_days, 4).alias("coverage"), F.max_by("alert_date", F.struct("alerts", "alert_date")).alias("peak_day"), F.max("alerts").alias("peak"))
 
 
+# fixed values: least growth from one day to the next that counts as an event passed on: a city's mean ratio, all alerts, the city's strong alerts; and the bounds of a price drop
+PASSED_ON = (1.08, 1.5, 1.3)
+PRICE_DROP = (0.08, 0.12)
+
+
+def event_ratios(loans: DataFrame, city: str, warn: float = 0.75) -> DataFrame:
+    """(day, three ratios to the day before, passed): whether an event in ``city`` shows in its mean ratio, in all alerts and in its strong ones.
+
+    ``loans``: day, city, ltv. Days come from the loans; a ratio to a day that has
+    none of what is counted is null and does not pass. The window holds a row
+    for each day.
+    """
+    mine = F.col("city") == city
+    days = loans.groupBy("day").agg(F.avg(F.when(mine, F.col("ltv"))).alias("_mean"), F.count_if(F.col("ltv") > warn).alias("_alerts"), F.count_if(mine & (F.col("ltv") > C.RED)).alias("_strong"))
+    before = Window.orderBy("day")
+    names = {"_mean": "mean_ratio", "_alerts": "alert_ratio", "_strong": "strong_ratio"}
+    out = days.withColumns({n: F.try_divide(F.col(c).cast("double"), F.lag(c).over(before)) for c, n in names.items()})
+    passed = [F.coalesce(F.col(n) >= least, F.lit(False)) for n, least in zip(names.values(), PASSED_ON)]
+    return out.withColumn("passed", passed[0] & passed[1] & passed[2]).select("day", *[F.round(n, 4).alias(n) for n in names.values()], "passed")
+
+
+def price_drop(original: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """One row: mean prices before and now of the rows whose original price was kept, their drop, and whether it is within bounds; nulls without such rows."""
+    means = original.join(now, key).agg(F.count("*").alias("rows"), F.avg("original_price").alias("_a"), F.avg("true_market_price").alias("_b"))
+    drop = 1 - F.try_divide("_b", "_a")
+    return means.select("rows", F.round("_a", 1).alias("before"), F.round("_b", 1).alias("now"), F.round(drop, 4).alias("drop"), drop.between(*PRICE_DROP).alias("within"))
+
+
 def first_of_url(rows: DataFrame, order: list[Column]) -> DataFrame:
     return one_of_each(rows, ["url_key"], order)

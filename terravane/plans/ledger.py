@@ -180,6 +180,21 @@ def acceptance(spark, sf_dir):
     return L.acceptance(L.day_records(_alerts(spark, sf_dir)), 3000)
 
 
+def event_ratios(spark, sf_dir):
+    """Ratios from month to month; loans have no snapshots here, so a loan's day is the month it began in."""
+    loans, collateral = view(spark, sf_dir, "loan"), view(spark, sf_dir, "collateral")
+    joined = loans.join(collateral.select("collateral_id", "city", "true_market_price"), "collateral_id").where("true_market_price > 0")
+    return L.event_ratios(joined.select(F.trunc("origination_date", "month").alias("day"), "city", F.round(F.col("balance") / F.col("true_market_price"), 4).alias("ltv")), "gz")
+
+
+def price_drop(spark, sf_dir):
+    """Collateral of one city before and after its prices were lowered, most of it by 12 parts in 100."""
+    collateral = view(spark, sf_dir, "collateral")
+    lower = F.when(F.col("collateral_id") % 5 == 0, 0.97).otherwise(0.88)
+    now, original = L.perturbed(collateral, lower, F.col("city") == "gz")
+    return L.price_drop(original, now.select("collateral_id", "true_market_price"), "collateral_id")
+
+
 _A = """(SELECT *, CASE WHEN ltv > 0.85 THEN 'strong' ELSE 'warn' END AS alert_level FROM (SELECT loan_id, l.customer_id, origination_date AS alert_date, round(balance / true_market_price, 4) AS ltv, balance
   FROM loan l JOIN collateral c ON c.collateral_id = l.collateral_id WHERE true_market_price > 0) WHERE ltv > 0.75)"""
 _LC = "loan collateral"
@@ -271,6 +286,18 @@ QUERIES = {
         day_records,
         oracle(_LC, f"SELECT alert_date, count(*) AS alerts, count(*) FILTER (alert_level = 'strong') AS strong, count(*) FILTER (alert_level = 'warn') AS warn, CAST(sum(CAST(balance AS DECIMAL(18,2))) AS DOUBLE) AS balance, max(ltv) AS top_ltv FROM {_A} GROUP BY 1"),
     ),
+    "ledger_event_ratios": (
+        event_ratios,
+        oracle(_LC, """WITH a AS (SELECT date_trunc('month', origination_date)::DATE AS day, city, round(balance / true_market_price, 4) AS ltv FROM loan l JOIN collateral c ON c.collateral_id = l.collateral_id WHERE true_market_price > 0),
+        d AS (SELECT day, avg(ltv) FILTER (city = 'gz') AS m, count(*) FILTER (ltv > 0.75) AS n, count(*) FILTER (city = 'gz' AND ltv > 0.85) AS s FROM a GROUP BY 1),
+        r AS (SELECT day, m / nullif(lag(m) OVER w, 0) AS mr, n / nullif(lag(n) OVER w, 0) AS nr, s / nullif(lag(s) OVER w, 0) AS sr FROM d WINDOW w AS (ORDER BY day))
+        SELECT day, round(mr, 4) AS mean_ratio, round(nr, 4) AS alert_ratio, round(sr, 4) AS strong_ratio, coalesce(mr >= 1.08, FALSE) AND coalesce(nr >= 1.5, FALSE) AND coalesce(sr >= 1.3, FALSE) AS passed FROM r"""),
+    ),
+    "ledger_price_drop": (
+        price_drop,
+        oracle("collateral", """WITH p AS (SELECT true_market_price AS a, round(true_market_price * CASE WHEN collateral_id % 5 = 0 THEN 0.97::DOUBLE ELSE 0.88::DOUBLE END, 2) AS b FROM collateral WHERE city = 'gz')
+        SELECT count(*) AS rows, round(avg(a), 1) AS before, round(avg(b), 1) AS now, round(1 - avg(b) / avg(a), 4) AS drop, 1 - avg(b) / avg(a) BETWEEN 0.08 AND 0.12 AS within FROM p"""),
+    ),
     "ledger_acceptance": (
         acceptance,
         oracle(_LC, f"WITH d AS (SELECT alert_date, count(*) AS n FROM {_A} GROUP BY 1) SELECT count(*) AS days, round(count(*) / 3000, 4) AS coverage, arg_max(alert_date, (n, alert_date)) AS peak_day, max(n) AS peak FROM d"),
