@@ -42,7 +42,7 @@ def within(queries: DataFrame, points: DataFrame, radius_km: float) -> DataFrame
 
 
 #: Most pairs of the 3 x 3 cells around queries that are formed by a join; beyond, neighbourhoods go through the tree.
-PAIRS = 20_000_000
+PAIRS = 5_000_000_000
 
 
 def _few_pairs(queries: DataFrame, points: DataFrame, radius_km: float) -> bool:
