@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm.common import Scratch, crc_mod, tidied
-from terravane.llm.shingles import chunks, word_hashes
+from terravane.llm.shingles import chunks, mix, word_hashes
 
 ORDER, SYMBOLS = 5, 257
 CHUNK_BYTES = 32 << 20
@@ -59,36 +59,66 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Lookup:
-    """Sorted codes with their values."""
+    """Codes with their values, in buckets by the first bits of a scramble of the codes."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(codes)
-        self._codes, self._values = codes[order], values[order]
+        keys = mix(codes)
+        order = np.argsort(keys)
+        self._keys, self._values = keys[order], values[order]
+        bits = len(codes).bit_length()
+        self._shift = np.uint64(64 - bits) if bits else np.uint64(63)
+        sizes = np.bincount((self._keys >> self._shift).astype(np.int64), minlength=1 << max(bits, 1))
+        self._first = np.cumsum(sizes) - sizes
 
     def get(self, codes: np.ndarray) -> np.ndarray:
         """Values of codes that are all there."""
-        return self._values[np.searchsorted(self._codes, codes)]
-
-
-#: Partial counts of a chunk that are gathered before they are summed.
-PENDING = 1_000_000
-
-
-def _add(parts: list, codes: np.ndarray, counts: np.ndarray) -> list:
-    """Collect (codes, counts), joined when much has come together."""
-    parts.append((codes, counts))
-    if sum(len(c) for c, _ in parts[1:]) > PENDING:
-        return [_summed(parts)]
-    return parts
-
-
-def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    parts.clear()
-    order = np.argsort(codes)
-    codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
+        keys = mix(codes)
+        at = self._first[keys >> self._shift]
+        left = np.flatnonzero(self._keys[at] != keys)
+        while len(left):
+            at[left] += 1
+            left = left[self._keys[at[left]] != keys[left]]
+        return self._values[at]
+
+
+#: Codes of a chunk that are gathered before they are counted.
+PENDING = 2_000_000
+
+
+class Tally:
+    """Different codes, in order, with the number of times that they came from training texts."""
+
+    def __init__(self) -> None:
+        self._codes, self._counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._new: tuple[list, list] = ([], [])
+        self._pending = 0
+
+    def add(self, codes: np.ndarray, train: np.ndarray) -> None:
+        self._new[0].append(codes[train])
+        self._new[1].append(codes[~train])
+        self._pending += len(codes)
+        if self._pending > PENDING:
+            self.counted()
+
+    def put(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        """Add counts of different codes, which come in order."""
+        at = np.searchsorted(self._codes, codes)
+        known = at < len(self._codes)
+        known[known] = self._codes[at[known]] == codes[known]
+        self._counts[at[known]] += counts[known]
+        self._codes = np.insert(self._codes, at[~known], codes[~known])
+        self._counts = np.insert(self._counts, at[~known], counts[~known])
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        for some, step in zip(self._new, (1, 0), strict=True):
+            if some:
+                codes = np.concatenate(some)
+                some.clear()
+                codes.sort()
+                first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+                self.put(codes[first], np.diff(np.r_[first, len(codes)]) * step)
+        self._pending = 0
+        return self._codes, self._counts
 
 
 PARTS = "chunk int, kind int, code long, n long"
@@ -105,12 +135,12 @@ def _runs(batch: pa.RecordBatch):
 @tidied
 def _gather(batches):
     """Different strings (kind 0) and words (kind 1) of each chunk with their counts in its training texts; rows come sorted by chunk."""
-    now, kinds, texts = None, ([], []), 0
+    now, kinds, texts = None, (), 0
 
     def told():
-        kinds[1][:] = _add(kinds[1], np.array([_END_WORD]), np.array([texts]))
+        kinds[1].put(np.array([_END_WORD]), np.array([texts]))
         for kind in (0, 1):
-            codes, counts = _summed(kinds[kind])
+            codes, counts = kinds[kind].counted()
             for a in range(0, len(codes), 100_000):
                 n = len(codes[a : a + 100_000])
                 yield pa.RecordBatch.from_arrays(
@@ -122,16 +152,12 @@ def _gather(batches):
             if chunk != now:
                 if now is not None:
                     yield from told()
-                now, texts = chunk, 0
+                now, kinds, texts = chunk, (Tally(), Tally()), 0
             held = batch.column(1).slice(first, end - first).to_numpy(zero_copy_only=False).astype(bool)
             texts += int((~held).sum())
             for a, b, data, offsets in chunks(batch.column(2).slice(first, end - first)):
                 for kind, (codes, at) in enumerate((string_codes(data, offsets), _words(data, offsets))):
-                    train = np.repeat(~held[a:b], np.diff(at))
-                    kinds[kind][:] = _add(kinds[kind], *np.unique(codes[train], return_counts=True))
-                    if not train.all():
-                        other = np.unique(codes[~train])
-                        kinds[kind][:] = _add(kinds[kind], other, np.zeros(len(other), np.int64))
+                    kinds[kind].add(codes, np.repeat(~held[a:b], np.diff(at)))
     if now is not None:
         yield from told()
 

@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -76,6 +78,40 @@ def test_partial_counts_are_summed(monkeypatch):
     assert told() == whole and {c for c, *_ in whole} == {0, 1} and sum(n for _, k, _, n in whole if k == 0) > 0
 
 
+def test_values_are_found_without_a_search_of_the_whole_table():
+    rng = np.random.default_rng(21)
+    for n in (0, 1, 2, 1000):  # codes of one bit pattern too
+        codes = np.unique(np.r_[rng.integers(0, 1 << 54, n, dtype=np.uint64), np.arange(n, dtype=np.uint64) << np.uint64(45)])
+        values, asked = rng.random(len(codes)), rng.integers(0, max(1, len(codes)), 3 * n)
+        order = rng.permutation(len(codes))
+        assert (ppm.Lookup(codes[order], values[order]).get(codes[asked] if n else codes) == (values[asked] if n else values)).all()
+    codes = np.unique(rng.integers(0, 1 << 54, 1_300_000, dtype=np.uint64))
+    asked, table = codes[rng.integers(0, len(codes), 500_000)], ppm.Lookup(codes, np.zeros(len(codes)))
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            f(asked)
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(table.get) < 0.6 * least(lambda x: np.searchsorted(codes, x))
+
+
+def test_tally_counts_training_codes_and_keeps_the_others(monkeypatch):
+    monkeypatch.setattr(ppm, "PENDING", 50)
+    rng = np.random.default_rng(22)
+    tally, want = ppm.Tally(), Counter()
+    for n in (0, 7, 60, 200, 3):
+        codes, train = rng.integers(0, 90, n, dtype=np.uint64), rng.random(n) < 0.5
+        tally.add(codes, train)
+        want.update(codes[train].tolist())
+        want.update(dict.fromkeys(codes[~train].tolist(), 0))
+    codes, counts = tally.counted()
+    assert codes.tolist() == sorted(want) and dict(zip(codes.tolist(), counts.tolist())) == want and 0 in counts
+
+
 def test_long_texts_equal_brute_force(docs):
     rng = random.Random(8)
     long = " ".join(rng.choice(["the", "cat", "sat", "Ön", "mat"]) for _ in range(160_000))
