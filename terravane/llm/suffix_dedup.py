@@ -246,14 +246,14 @@ def _cut(batches):
             part = batch.slice(a, 256)
             n = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
             flat = part.column(2).flatten()
-            gram, start, length, single = (flat.field(i) for i in range(4))
+            gram, start, length, single, large = (flat.field(i) for i in range(5))
             raw = [t.as_buffer().to_pybytes() for t in part.column(1)]
             owner = np.repeat(np.arange(part.num_rows), n)
             data = [raw[o][s : s + k + LENGTH - 1] for o, s, k in zip(owner.tolist(), start.to_pylist(), length.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([gram, single, part.column(0).take(pa.array(owner)), start, pa.array(data, pa.binary())], names=["gram", "single", "th", "start", "data"])
+            yield pa.RecordBatch.from_arrays([gram, single, part.column(0).take(pa.array(owner)), start, pa.array(data, pa.binary()), large], names=["gram", "single", "th", "start", "data", "large"])
 
 
-CUT = "gram binary, single boolean, th binary, start long, data binary"
+CUT = "gram binary, single boolean, th binary, start long, data binary, large boolean"
 SPANS = "th binary, start long, end long"
 
 
@@ -325,16 +325,17 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) ->
     whole = hits.join(runs.where("c > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("th", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
     # a run that several texts share needs one of them for the others to be compared with
     wanted = runs.where("n_runs > 1 and least = 1").select(
-        F.col("one.th").alias("th"), F.struct("gram", F.col("one.start").alias("start"), F.col("one.n").alias("n"), (F.col("c") == 1).alias("single")).alias("r")
+        F.col("one.th").alias("th"),
+        F.struct("gram", F.col("one.start").alias("start"), F.col("one.n").alias("n"), (F.col("c") == 1).alias("single"), (F.col("n_runs") > BLOCK_RUNS).alias("large")).alias("r"),
     )
     wanted = scratch.keep(wanted.groupBy("th").agg(F.collect_list("r").alias("runs")), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select("th")
     texts = hashed.join(F.broadcast(ids) if few else ids, "th", "left_semi").dropDuplicates(["th"])
     cut = scratch.keep(texts.join(wanted, "th").select("th", "text", "runs").mapInArrow(_cut, CUT), "cut")
-    large = runs.where((F.col("n_runs") > BLOCK_RUNS) & (F.col("least") == 1)).select("gram").distinct()
-    near = cut.join(large, "gram", "left_anti").repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(_compare, SPANS)
-    spelt = cut.join(large, "gram", "left_semi").mapInArrow(_spell, SPELT)
+    # no join by gram may come before: Spark takes its shuffle for this one's, and may then read it by map task, where an anchor's rows do not meet
+    near = cut.where("not large").drop("large").repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(_compare, SPANS)
+    spelt = cut.where("large").drop("large").mapInArrow(_spell, SPELT)
     again = spelt.groupBy("gram", "h").agg(F.count("*").alias("c")).where("c > 1")
     far = spelt.where("single").join(again, ["gram", "h"], "left_semi").select("th", "start", (F.col("start") + LENGTH).alias("end"))
     spans = copies.unionByName(whole).unionByName(near).unionByName(far).unionByName(local)

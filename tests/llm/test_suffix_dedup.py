@@ -125,3 +125,20 @@ def test_a_text_that_repeats_its_own_lines(docs):
         line = noise(rng, period, "abcdefghijklmnop ")
         check(docs, [(1, (line * 6)[:1000]), (2, noise(rng, 90) + line * 2 + line[:31] + noise(rng, 90)), (3, None)])
         check(docs, [(1, (line * 6)[:1000]), (2, noise(rng, 300))])
+
+
+def test_anchors_meet_when_joins_become_broadcasts_while_they_run(docs, spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(0, 120, 2):
+        passage = noise(rng, 230)
+        rows += [(j, noise(rng, 150) + passage + noise(rng, 150)) for j in (i, i + 1)]
+    conf = {"autoBroadcastJoinThreshold": "1", "adaptive.autoBroadcastJoinThreshold": "10m", "adaptive.coalescePartitions.enabled": "false", "files.maxPartitionBytes": "4k", "files.openCostInBytes": "4k"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        check(docs, rows, batches=2)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
