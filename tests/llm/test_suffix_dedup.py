@@ -127,9 +127,11 @@ def test_a_text_that_repeats_its_own_lines(docs):
         check(docs, [(1, (line * 6)[:1000]), (2, noise(rng, 300))])
 
 
-def test_anchors_meet_when_joins_become_broadcasts_while_they_run(docs, spark):
+def test_anchors_meet_when_joins_become_broadcasts_while_they_run(docs, spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_RUNS", 5)
     rng = random.Random(23)
-    rows = []
+    many = noise(rng, 230)
+    rows = [(1000 + i, noise(rng, 150) + many[i % 5 : 205 + i] + noise(rng, 150)) for i in range(20)]
     for i in range(0, 120, 2):
         passage = noise(rng, 230)
         rows += [(j, noise(rng, 150) + passage + noise(rng, 150)) for j in (i, i + 1)]
