@@ -46,8 +46,8 @@ from terravane.llm.shingles import chunks, mix
 #: Length of a repeated string and of the grams that anchor it, in bytes.
 LENGTH, GRAM = 200, 32
 _W = LENGTH - GRAM + 1
-#: Runs of one anchor up to which its strings are compared within a task; and bytes compared at a time.
-BLOCK_RUNS, BLOCK_BYTES = 2000, 2 << 20
+#: Runs of one anchor up to which its strings are compared within a task; and bytes compared at a time, which take a worker about 100 times their memory.
+BLOCK_RUNS, BLOCK_BYTES = 2000, 1 << 19
 #: Bytes of a long text whose strings are looked at together.
 SLICE = 1 << 20
 #: Batches that a whole corpus is indexed in.
@@ -218,11 +218,13 @@ class SuffixIndex:
             self._drop(two, at_two)
         name, path = self._write(runs.groupBy("gram").agg(F.count("*").alias("count")))
         new = self.spark.table(name)
-        found = new.where("count > 1").select("gram")
-        for _, level, _ in self.levels:
-            found = found.unionByName(new.join(self.spark.table(level), "gram", "left_semi").select("gram"))
+        found, again = new, F.col("count") > 1
+        for i, (_, level, _) in enumerate(self.levels):
+            found = found.join(self.spark.table(level).select("gram", F.col("count").alias(f"count_{i}")), "gram", "left")
+            again = again | F.col(f"count_{i}").isNotNull()
         self.levels.append((1, name, path))
-        self.again.append(self.scratch.keep(found, "again"))
+        # what is found is small: one file for several buckets
+        self.again.append(self.scratch.keep(found.where(again).select("gram").coalesce(-(-self.buckets // 4)), "again"))
 
     def found(self) -> DataFrame:
         """Every gram that occurs again in its batch or in an earlier one, once."""

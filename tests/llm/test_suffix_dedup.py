@@ -144,3 +144,36 @@ def test_anchors_meet_when_joins_become_broadcasts_while_they_run(docs, spark, m
     finally:
         for k, v in before.items():
             spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_blocks_of_small_anchors_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(24)
+    raw = [rng.randbytes(330) for _ in range(9000)]
+    kinds = {"gram": pa.binary(), "single": pa.bool_(), "th": pa.binary(), "start": pa.int64(), "data": pa.binary()}
+    batches = []
+    for a in range(0, len(raw), 1000):
+        rows = [[b"%032d" % (i // 3) for i in range(a, a + 1000)], [True] * 1000, [b"t" * 16] * 1000, list(range(a, a + 1000)), raw[a : a + 1000]]
+        batches.append(pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds.values(), strict=True)], names=list(kinds)))
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in suffix_dedup._compare(iter(batches))) == 0
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100e6
+
+
+def test_a_batch_is_scanned_against_all_levels_in_one_pass(spark):
+    index = suffix_dedup.SuffixIndex(suffix_dedup.Scratch(spark))
+    try:
+        for i in range(4):
+            index.add(spark.createDataFrame([(bytes([i, j]) * 16,) for j in range(40)] + [(b"x" * 32,)], "gram binary"))
+        assert [n for n, _, _ in index.levels] == [2, 1, 1]
+        assert [x.count() for x in index.again] == [0, 1, 1, 1]
+        assert all(len(x.inputFiles()) <= -(-index.buckets // 4) for x in index.again)
+    finally:
+        index.close()
