@@ -35,6 +35,11 @@ def rebuilt(stored: DataFrame, detail: DataFrame, day: str) -> DataFrame:
     return stored.where(F.col("stat_date") != day).unionByName(detail.withColumn("stat_date", F.lit(day)), allowMissingColumns=True)
 
 
+def _apart(x, y, eps: float):
+    """Whether two figures differ by more than ``eps``; what their doubles cannot tell apart, a millionth at least, counts as none."""
+    return F.abs(x - y) - eps > F.greatest(F.lit(5e-7), (F.abs(x) + F.abs(y)) * 2.0**-52)
+
+
 def reconcile(template: DataFrame, internal: DataFrame, detail: DataFrame) -> DataFrame:
     """One row for each failed check between the report, the stored summary and the detail's own sums."""
     three = None
@@ -45,8 +50,7 @@ def reconcile(template: DataFrame, internal: DataFrame, detail: DataFrame) -> Da
     def check(a: str, b: str, what: str, label: str):
         x, y = (F.coalesce(F.col(f"{s}_{what}"), F.lit(0.0)) for s in (a, b))
         eps = {"loan_count": 0.0, "balance": EPS_BALANCE, "balance_pct": EPS_SHARE}[what]
-        # differences to a millionth, so that one exactly at the tolerance passes
-        return F.when(F.round(F.abs(x - y), 6) > eps, F.concat(F.lit(label + ":"), F.col("risk_class"), F.lit(":" + what)))
+        return F.when(_apart(x, y, eps), F.concat(F.lit(label + ":"), F.col("risk_class"), F.lit(":" + what)))
 
     checks = [check("t", "i", w, "report_vs_summary") for w in ("loan_count", "balance")]
     checks += [check("t", "d", w, "report_vs_detail") for w in ("loan_count", "balance", "balance_pct")]
@@ -55,8 +59,8 @@ def reconcile(template: DataFrame, internal: DataFrame, detail: DataFrame) -> Da
     sums = three.agg(*[C.money(F.col(f"{s}_balance")).alias(s) for s in "id"], F.sum("t_balance_pct").alias("p"))
     whole = F.array_compact(
         F.array(
-            F.when(F.round(F.abs(F.col("i") - F.col("d")), 6) > EPS_BALANCE, "detail_vs_summary:total:balance"),
-            F.when((F.col("i") > 0) & (F.round(F.abs(F.col("p") - 1), 6) > EPS_SHARE), "report:shares:balance_pct"),
+            F.when(_apart(F.col("i"), F.col("d"), EPS_BALANCE), "detail_vs_summary:total:balance"),
+            F.when((F.col("i") > 0) & _apart(F.col("p"), F.lit(1.0), EPS_SHARE), "report:shares:balance_pct"),
         )
     )
     return by_class.unionByName(sums.select(F.explode(whole).alias("mismatch")))
