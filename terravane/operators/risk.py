@@ -41,9 +41,9 @@ def enrich(loans: DataFrame, collateral: DataFrame, version: str | None = None,
     has = F.col("_held").isNotNull()
     wide = wide.withColumn("market_valuation", F.when(has, F.coalesce("avm_value", "dwd_value", "true_market_price", F.lit(0.0))))
     ratio = F.when(F.col("market_valuation") > 0, F.try_divide(F.coalesce("balance", F.lit(0.0)), F.col("market_valuation")))
-    wide = wide.withColumn("_ratio", ratio).withColumn("ltv", F.round("_ratio", 4))
+    wide = wide.withColumn("_ratio", ratio).withColumn("ltv", C.rounded(F.col("_ratio"), 4))
     base = F.coalesce("true_market_price", F.lit(0.0))
-    off = F.when(F.col("avm_value").isNotNull() & (F.col("market_valuation") > 0) & (base > 0), F.round(F.abs(F.col("market_valuation") - base) / base, 4))
+    off = F.when(F.col("avm_value").isNotNull() & (F.col("market_valuation") > 0) & (base > 0), C.rounded(F.abs(F.col("market_valuation") - base) / base, 4))
     low = F.when(has, F.coalesce("missing_pct", F.lit(0.0)) > C.LOW_CONFIDENCE).otherwise(True)
     line = F.col("ltv") if round_first else F.col("_ratio")
     wide = wide.withColumns({"valuation_deviation_pct": off, "low_confidence": low, "_class": C.classify(F.col("ltv"))})

@@ -1,7 +1,11 @@
 """What only shows on large tables: sums of many digits, large numbers, dense neighbourhoods."""
 
+import duckdb
+
 from terravane.functions import columns as C
 from terravane.operators import reporting
+from terravane.plans import registry
+from tests.oracle import compare
 
 
 def test_a_cent_of_a_large_book_is_within_the_tolerance(spark):
@@ -10,3 +14,16 @@ def test_a_cent_of_a_large_book_is_within_the_tolerance(spark):
     assert reporting.reconcile(make(0.01, 0.01, -0.01, 0.0, -0.01), make(0.01, 0.01, -0.01, 0.0, -0.01), plain).count() == 0
     two = {x.mismatch for x in reporting.reconcile(make(0.02, 0.0, 0.0, 0.0, 0.0), plain, plain).collect()}
     assert two == {"report_vs_summary:正常:balance", "report_vs_detail:正常:balance"}
+
+
+def test_ratios_at_a_half_are_rounded_as_the_statement_does(spark, tmp_path):
+    # balance and price whose ratio's text ends in a half, or just under one, while ten thousand times the ratio does not
+    pairs = [(150104.37, 278616.0), (361609.22, 219990.4), (440034.72, 237696.0), (485113.05, 243000.0), (450662.61, 274920.0), (260533.26, 299894.4)]
+    spark.createDataFrame([(i, i, "n", 1, m / (200 + i)) for i, (_, m) in enumerate(pairs)], "p_partkey long, p_size int, p_name string, x int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    loans = spark.createDataFrame([(i, i, b, "1995-01-01") for i, (b, _) in enumerate(pairs)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string")
+    loans.write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("part", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    query, sql = registry.ALL["files_masked_csv"]
+    assert compare(spark, con, query, sql, str(tmp_path)) == "" and query(spark, str(tmp_path)).count() == 6
