@@ -97,3 +97,12 @@ def test_local_regression_forms_no_rows_of_pairs(town):
     _, frame = town
     plan = models.local_least_squares(frame, frame, "id", "a", "g", "price", 3.0)._jdf.queryExecution().toString()
     assert "FlatMapCoGroups" in plan and "q_id" not in plan
+
+
+def forms_no_pairs(spark, name):
+    plan = registry.ALL[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    return "FlatMapCoGroups" in plan and "p_unit_price" not in plan
+
+
+def test_local_regression_query_forms_no_rows_of_pairs(spark):
+    assert forms_no_pairs(spark, "model_local_regression")
