@@ -106,3 +106,7 @@ def forms_no_pairs(spark, name):
 
 def test_local_regression_query_forms_no_rows_of_pairs(spark):
     assert forms_no_pairs(spark, "model_local_regression")
+
+
+def test_collateral_features_query_forms_no_rows_of_pairs(spark):
+    assert forms_no_pairs(spark, "spatial_collateral_features")
