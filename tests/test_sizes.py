@@ -110,3 +110,7 @@ def test_local_regression_query_forms_no_rows_of_pairs(spark):
 
 def test_collateral_features_query_forms_no_rows_of_pairs(spark):
     assert forms_no_pairs(spark, "spatial_collateral_features")
+
+
+def test_features_query_forms_no_rows_of_pairs(spark):
+    assert forms_no_pairs(spark, "spatial_features")
