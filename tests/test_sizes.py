@@ -114,3 +114,8 @@ def test_collateral_features_query_forms_no_rows_of_pairs(spark):
 
 def test_features_query_forms_no_rows_of_pairs(spark):
     assert forms_no_pairs(spark, "spatial_features")
+
+
+def test_neighbour_prices_are_kept_once_for_each_place(spark):
+    # what a round writes is one row for each place, not one for each of its neighbours
+    assert "rank" not in registry.ALL["spatial_neighbour_prices"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
